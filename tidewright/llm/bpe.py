@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import mapped, only, slices
@@ -213,7 +214,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digests: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for a, b in slices(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)), 4 * BATCH_CHARS):
+            for a, b in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), 4 * BATCH_CHARS):
                 texts = [t or "" for t in batch.column(1)[a:b].to_pylist()]
                 ids, counts = bpe.encode_batch(texts)
                 ends = np.cumsum(counts)

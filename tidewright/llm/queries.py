@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, sharding
+from . import bpe, exact_dedup, quality, sharding, substrings, suffixes
 
 SHARDS = 16
 
@@ -43,6 +43,16 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeated_passages(documents(spark, sf_dir), digest=True)
+    return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.col("left").alias("kept_sha256"))
+
+
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated_strings(documents(spark, sf_dir), digest=True)
+    return out.select("doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", F.col("left").alias("kept_sha256"))
+
+
 OP1_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -73,5 +83,5 @@ verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words >
 """.replace("// n_words", "// nullif(n_words, 0)")
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_prefix_shards, op5_bpe, op7_adaptive_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op9_recompression, op10_prefix_doubling)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_adaptive_quality": OP7_SQL}
