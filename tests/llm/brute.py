@@ -41,3 +41,31 @@ def op10(rows):
         spans = sum(1 for i, x in enumerate(g) if x and (i == 0 or not g[i - 1]))
         out[d] = (n, sum(g), spans, sha(bytes(b for b, x in zip(ts, g) if not x)))
     return out
+
+
+def simhash(text: str | None, k: int) -> int:
+    import xxhash
+
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    sh = [" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def op8(rows, k=4, r=4):
+    fp = {d: simhash(t, k) for d, t in rows}
+    comp = {d: d for d in fp}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(fp)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (fp[a] ^ fp[b]).bit_count() <= r:
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {d: (f"{fp[d]:016x}", find(d)) for d in ids}

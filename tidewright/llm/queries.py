@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, sharding, substrings, suffixes
+from . import bpe, exact_dedup, quality, sharding, simhash, substrings, suffixes
 
 SHARDS = 16
 
@@ -43,6 +43,10 @@ def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, r=4)
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeated_passages(documents(spark, sf_dir), digest=True)
     return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.col("left").alias("kept_sha256"))
@@ -83,5 +87,5 @@ verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words >
 """.replace("// n_words", "// nullif(n_words, 0)")
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op9_recompression, op10_prefix_doubling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_adaptive_quality": OP7_SQL}
