@@ -31,7 +31,7 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ɏ]+|[0-9]|[^\\sa-z0-9À-ɏ]+")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the tokenizer does not
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 BATCH_CHARS = 1 << 20
 
 
@@ -42,6 +42,19 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Index(dict):
+    """Number of each word; a word not met before gets the next one and is noted as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.known = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordBPE:
     """Encoder and decoder for a word-end BPE vocabulary in the tokenizers JSON format."""
 
@@ -76,29 +89,49 @@ class WordBPE:
         self._clear()
 
     def _clear(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index = _Index()
         self._ids = np.empty(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 12, np.int64)
+        self._uses = np.zeros(1 << 12, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words met more than once, half a cache of them at most."""
+        n = len(self._index)
+        uses = self._uses[:n]
+        stay = np.flatnonzero(uses > max(1, int(np.partition(uses, n // 2)[n // 2])))
+        words = list(self._index)
+        ids, ends = self._ids, self._ends
+        self._clear()
+        if len(stay):
+            self._store([words[i] for i in stay.tolist()], np.concatenate([ids[ends[i] : ends[i + 1]] for i in stay.tolist()]), ends[stay + 1] - ends[stay])
+            for i in stay.tolist():
+                self._index[words[i]]
+            self._index.new.clear()
+
+    def _store(self, chunks: list[str], symbols: np.ndarray, counts: np.ndarray) -> None:
+        known = self._index.known
+        used = int(self._ends[known])
+        while used + len(symbols) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
+        while known + len(chunks) + 1 > len(self._ends):
+            self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
+            self._uses = np.concatenate([self._uses, np.zeros_like(self._uses)])
+        self._ids[used : used + len(symbols)] = symbols
+        self._ends[known + 1 : known + 1 + len(chunks)] = used + np.cumsum(counts)
+        self._index.known = known + len(chunks)
 
     def merge(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The final symbols and their words, from the first symbols of all words (words ascending)."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, made = self._pairs(symbols, np.r_[symbols[1:], 0], np.r_[words[1:] == words[:-1], False]) if len(symbols) else (symbols, symbols)
         while len(symbols):
-            key = symbols << 32
-            key[:-1] |= symbols[1:]
-            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            hit = self._keys[at] == key
-            hit[-1] = False
-            hit[:-1] &= words[1:] == words[:-1]
-            rank = np.where(hit, self._rank[at], _NEVER)
             starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-            lengths = np.diff(np.r_[starts, len(words)])
             low = np.minimum.reduceat(rank, starts)
-            lowest = np.repeat(low, lengths)
+            lowest = np.repeat(low, np.diff(np.r_[starts, len(words)]))
             active = lowest != _NEVER
             if not active.all():
                 done.append((symbols[~active], words[~active]))
-                symbols, words, rank, lowest, at = (x[active] for x in (symbols, words, rank, lowest, at))
+                symbols, words, rank, made, lowest = (x[active] for x in (symbols, words, rank, made, lowest))
                 if not len(symbols):
                     break
             best = np.flatnonzero(rank == lowest)
@@ -108,16 +141,27 @@ class WordBPE:
             best = best[(np.arange(len(best)) - first) % 2 == 0]
             leftmost = np.r_[True, words[best[1:]] != words[best[:-1]]]
             best = best[leftmost | self._at_once[rank[best]]]
-            symbols[best] = self._made[at[best]]
+            symbols[best] = made[best]
             stay = np.ones(len(symbols), bool)
             stay[best + 1] = False
-            symbols, words = symbols[stay], words[stay]
+            best = best - np.arange(len(best))
+            symbols, words, rank, made = symbols[stay], words[stay], rank[stay], made[stay]
+            # Only pairs with a new symbol have another rank than before.
+            fresh = np.unique(np.concatenate([best, best[best > 0] - 1]))
+            after = np.minimum(fresh + 1, len(symbols) - 1)
+            rank[fresh], made[fresh] = self._pairs(symbols[fresh], symbols[after], (after > fresh) & (words[after] == words[fresh]))
         if not done:
             return symbols, words
         symbols, words = (np.concatenate([d[i] for d in done]) for i in (0, 1))
         order = np.argsort(words, kind="stable")
         return symbols[order], words[order]
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of each pair, by binary search."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(inside & (self._keys[at] == key), self._rank[at], _NEVER), self._made[at]
+
     def _pieces(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk without white space as bytes; special tokens as ids."""
         if "<|" in chunk:
@@ -148,15 +192,7 @@ class WordBPE:
             counts = np.bincount(np.array(owner)[words], minlength=len(chunks))
         else:
             symbols, counts = np.empty(0, np.int64), np.zeros(len(chunks), np.int64)
-        known = len(self._index)
-        used = int(self._ends[known])
-        while used + len(symbols) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
-        while known + len(chunks) + 1 > len(self._ends):
-            self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
-        self._ids[used : used + len(symbols)] = symbols
-        self._ends[known + 1 : known + 1 + len(chunks)] = used + np.cumsum(counts)
-        self._index.update(zip(chunks, range(known, known + len(chunks)), strict=True))
+        self._store(chunks, symbols, counts)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array (uint32), and the number of ids of each text."""
@@ -172,12 +208,14 @@ class WordBPE:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         chunks = [c for s in split for c in s]
         if len(self._index) > CACHE_WORDS:
-            self._clear()
-        at = list(map(self._index.get, chunks))
-        if None in at:
-            self._learn(list(dict.fromkeys(c for c, i in zip(chunks, at, strict=True) if i is None)))
-            at = list(map(self._index.__getitem__, chunks))
+            self._forget()
+        at = list(map(self._index.__getitem__, chunks))
+        if self._index.new:
+            self._learn(self._index.new)
+            self._index.new = []
         at = np.array(at, np.int64)
+        known = self._index.known
+        self._uses[:known] += np.bincount(at, minlength=known).astype(np.int32)
         first, counts = self._ends[at], self._ends[at + 1] - self._ends[at]
         total = np.cumsum(counts)
         n = int(total[-1]) if len(total) else 0

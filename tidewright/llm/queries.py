@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality, sharding, simhash, substrings, suffixes
+from . import bpe, exact_dedup, packing, quality, sharding, simhash, substrings, suffixes
 
 SHARDS = 16
 
@@ -30,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), stays="max")
 
 
+def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
 def op3_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.prefix_shards(documents(spark, sf_dir), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -87,5 +91,5 @@ verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words >
 """.replace("// n_words", "// nullif(n_words, 0)")
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_adaptive_quality": OP7_SQL}
