@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, sharding, simhash, substrings, suffixes
+from . import bpe, exact_dedup, packing, quality, scoring, sharding, simhash, substrings, suffixes
 
 SHARDS = 16
 
@@ -39,6 +39,12 @@ def op3_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good; background: all documents."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return scoring.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -91,5 +97,5 @@ verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words >
 """.replace("// n_words", "// nullif(n_words, 0)")
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op4_cross_entropy, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_adaptive_quality": OP7_SQL}
