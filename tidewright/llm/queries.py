@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, scoring, sharding, simhash, substrings, suffixes
+from . import bpe, exact_dedup, packing, quality, scoring, sharding, simhash, substrings, suffixes, warc
 
 SHARDS = 16
 
@@ -49,6 +49,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+#: Damage planted in the second replica, by the first hex digits of a url's md5: altered, lost.
+ALTERED, LOST = "0", "f0"
+
+
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, against a replica with planted damage."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    mark = F.md5(F.coalesce("url", F.lit("")))
+    replica = pages.filter(~mark.startswith(LOST)).withColumn("html", F.when(mark.startswith(ALTERED), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    return warc.audit(warc.records(pages), warc.records(replica))
+
+
 def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -97,5 +109,20 @@ verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words >
 """.replace("// n_words", "// nullif(n_words, 0)")
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op4_cross_entropy, op5_bpe, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op7_adaptive_quality": OP7_SQL}
+_RECORD = """'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>' || e
+  || 'WARC-Date: %s' || e || 'WARC-Target-URI: ' || u || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(h)::VARCHAR || e || e || h || e || e""" % warc.DATE
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, u, CASE WHEN md5(u) LIKE '{ALTERED}%' THEN '#' || substr(h, 2) ELSE h END AS h FROM p WHERE md5(u) NOT LIKE '{LOST}%'),
+x AS (SELECT 'a' AS side, * FROM p UNION ALL SELECT 'b', * FROM r),
+rec AS (SELECT side, page_id, {_RECORD} AS rec FROM (SELECT *, chr(13) || chr(10) AS e, md5(u || '|' || sha256(h)) AS m FROM x)),
+m AS (SELECT side, page_id, page_id // {warc.FILE_RECORDS} AS file, strlen(rec)::BIGINT AS length, sha256(rec) AS sha,
+        (sum(strlen(rec)) OVER (PARTITION BY side, page_id // {warc.FILE_RECORDS} ORDER BY page_id) - strlen(rec))::BIGINT AS "offset" FROM rec),
+j AS (SELECT a.file, a.page_id AS record_id, a."offset", a.length, a.sha AS expected_sha256, b."offset" AS found_offset, b.sha AS found_sha256,
+        CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha <> b.sha THEN 'altered' WHEN a."offset" <> b."offset" THEN 'moved' END AS status
+      FROM (SELECT * FROM m WHERE side = 'a') a LEFT JOIN (SELECT * FROM m WHERE side = 'b') b ON a.page_id = b.page_id)
+SELECT * FROM j WHERE status IS NOT NULL
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op4_cross_entropy, op5_bpe, op6_merkle_audit, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op6_merkle_audit": OP6_SQL, "op7_adaptive_quality": OP7_SQL}
