@@ -35,7 +35,13 @@ def test_tree_and_pieces_lose_no_link(spark, monkeypatch):
             break
         label = new
     want = {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label)}
-    root = simhash.forest(fps, 4)
+    root = list(range(len(fps)))
+    pairs = simhash.forest(fps, 4)
+    assert len(pairs) == len(fps) - len(want) and all(near[i, j] for i, j in pairs)
+    for i, j in pairs.tolist():
+        p, q = root[i], root[j]
+        root = [min(p, q) if x == max(p, q) else x for x in root]
+    root = np.array(root)
     assert {frozenset(np.flatnonzero(root == k).tolist()) for k in set(root)} == want
     tree = simhash.Tree(fps, 20, 4)
     at, leaf = tree.route(fps)
@@ -49,3 +55,27 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b").collect()}
     assert all(got[i] == 100 for i in (101, 159, 160, 200)) and all(got[b] == 1 for _, b in pairs[60:140])
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_near_copies_go_and_clean_documents_stay(spark):
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    base = [[rnd.choice(vocab) for _ in range(rnd.randrange(60, 300))] for _ in range(120)]
+    rows, near = [], {}
+    for i, w in enumerate(base):
+        rows.append((i, " ".join(w)))
+    for i in range(0, 120, 2):
+        w = list(base[i])
+        for _ in range(max(1, len(w) // 80)):
+            w[rnd.randrange(len(w))] = "edited"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, base[i]))
+        near[1000 + i] = len(a & b) / len(a | b)
+        rows.append((1000 + i, " ".join(w)))
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id bigint, text string, fp string, a int")
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert set(range(120)) <= left  # every document that came first stays
+    wanted = [d for d, j in near.items() if j >= 0.8]
+    found = [d for d in wanted if d not in left]
+    print("recall", len(found) / len(wanted), "of", len(wanted))
+    assert len(found) >= 0.9 * len(wanted) and all(d in left for d, j in near.items() if j < 0.8)
+    assert simhash.drop_near_duplicates(docs.filter("false")).count() == 0

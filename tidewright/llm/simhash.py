@@ -26,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import keep, mapped, slices, text_or_empty
+from .common import keep, mapped, pack_sorted, partitions, slices, text_or_empty, unpack_sorted
 from .components import components
 
 SAMPLE = 20_000
-#: Fingerprints for each leaf of the routing tree, before overlaps.
-LEAF = 512
+#: Shards: at least and at most so many for parallel work, and more where one would hold over SHARD_POINTS.
+#: Every level of the tree sends some points to both sides, so more shards than that cost more than they give.
+MIN_SHARDS, MAX_SHARDS, SHARD_POINTS = 16, 64, 1 << 20
 #: Fingerprints up to which a piece of a shard is compared pair by pair.
 PIECE = 1024
+#: Ids up to which a list of them may be broadcast.
+BROADCAST_IDS = 200_000
 _STEP = 1 << 20
 
 
@@ -99,18 +102,18 @@ def _split(points: np.ndarray, r: int, rng: np.random.Generator, tries: int = 8)
 class Tree:
     """Vantage points and radii, as nested tuples (point, distance, inside, outside); a leaf is its number."""
 
-    def __init__(self, sample: np.ndarray, leaves: int, r: int):
+    def __init__(self, sample: np.ndarray, leaves: int, r: int, seed: int = 1):
         self.r, self.leaves = r, 0
-        self.root = self._grow(sample, max(1, len(sample) // max(1, leaves)), np.random.default_rng(1))
+        depth = max(0, leaves - 1).bit_length()
+        self.root = self._grow(sample, depth, np.random.default_rng(seed))
 
-    def _grow(self, points: np.ndarray, small: int, rng: np.random.Generator, depth: int = 0):
-        # Pieces shrink by overlaps more slowly than by half: depth bounds how often a point is copied.
-        at = _split(points, self.r, rng) if len(points) > max(small, 8) and depth < 16 else None
+    def _grow(self, points: np.ndarray, depth: int, rng: np.random.Generator):
+        at = _split(points, self.r, rng) if depth and len(points) > 8 else None
         if at is None:
             self.leaves += 1
             return self.leaves - 1
         inside, outside = _sides(distance(points, at[0]), at[1], self.r)
-        return (*at, self._grow(points[inside], small, rng, depth + 1), self._grow(points[outside], small, rng, depth + 1))
+        return (*at, self._grow(points[inside], depth - 1, rng), self._grow(points[outside], depth - 1, rng))
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, leaf) of each point in each shard that its ball touches."""
@@ -126,51 +129,120 @@ class Tree:
         return np.concatenate([a for a, _ in found]), np.concatenate([np.full(len(a), n) for a, n in found])
 
 
-def forest(points: np.ndarray, r: int) -> np.ndarray:
-    """For each distinct point the index of its component's representative among ``points``."""
+def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2) -> np.ndarray:
+    """Pairs of indices of distinct points within r bits that connect what all such pairs connect, nearest pairs first inside a piece.
+
+    ``overlap``: the triangle bound that splits keep, r if exact. A smaller one lets
+    pairs of a distance over it be parted now and then.
+    """
     root = np.arange(len(points))
-    rng = np.random.default_rng(2)
-    stack = [np.arange(len(points))]
+    rng = np.random.default_rng(seed)
+    stack, found = [np.arange(len(points))], [np.empty((0, 2), np.int64)]
     while stack:
         at = stack.pop()
-        split = _split(points[at], r, rng, 4) if len(at) > PIECE else None
+        split = _split(points[at], overlap or r, rng, 4) if len(at) > PIECE else None
         if split is not None:
-            inside, outside = _sides(distance(points[at], split[0]), split[1], r)
+            inside, outside = _sides(distance(points[at], split[0]), split[1], overlap or r)
             stack += [at[inside], at[outside]]
             continue
         x = points[at]
         for a in range(0, len(x), 128):
-            near = np.bitwise_count(x[a : a + 128, None] ^ x[None, a:]) <= r
-            rows = np.flatnonzero(near.sum(1, dtype=np.int32) > 1)
-            for i in rows.tolist():
-                own = root[at[a + np.flatnonzero(near[i])]]
-                least = own.min()
-                if (own != least).any():
-                    root[np.isin(root, np.unique(own[own != least]))] = least
-    return root
-
-
-def near_pairs_forest(points: DataFrame, r: int) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints of column ``fp`` exactly as all pairs within r bits would."""
+            apart = np.bitwise_count(x[a : a + 128, None] ^ x[None, a:])
+            i, j = np.nonzero(apart <= r)
+            later = j > i
+            i, j = i[later], j[later]
+            order = np.argsort(apart[i, j], kind="stable")
+            i, j = at[a + i[order]], at[a + j[order]]
+            while len(i):
+                # The first pair joins two trees; then only pairs that still join different ones matter.
+                p, q = int(root[i[0]]), int(root[j[0]])
+                if p != q:
+                    root[root == max(p, q)] = min(p, q)
+                    found.append(np.array([[i[0], j[0]]]))
+                open_ = root[i] != root[j]
+                i, j = i[open_], j[open_]
+    return np.concatenate(found)
+
+
+def near_pairs_forest(points: DataFrame, r: int, overlap: int | None = None, trees: int = 1) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints of column ``fp`` that connect them exactly as all pairs within r bits would (see ``forest`` for ``overlap``; more trees make up for parted pairs)."""
     spark = points.sparkSession
     ship(spark)
     n = points.count()
     sample = np.array([x.fp for x in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = Tree(sample, -(-n // LEAF), r)
+    shards = max(min(MAX_SHARDS, max(MIN_SHARDS, partitions(spark))), -(-n // SHARD_POINTS))
+    grown = [Tree(sample, shards, overlap or r, seed) for seed in range(1, trees + 1)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.asarray(b.column(0))
-            at, leaf = tree.route(fp.view(np.uint64))
-            yield pa.record_batch([pa.array(leaf, pa.int32()), pa.array(fp[at])], names=["leaf", "fp"])
+            fp, base = np.asarray(b.column(0)), 0
+            for tree in grown:
+                at, leaf = tree.route(fp.view(np.uint64))
+                yield pa.record_batch([pa.array(leaf + base, pa.int32()), pa.array(fp[at])], names=["leaf", "fp"])
+                base += tree.leaves
 
     def link(key, table):
-        fp = np.asarray(table.column("fp")).copy()
-        root = forest(fp.view(np.uint64), r)
-        linked = root != np.arange(len(fp))
-        return pa.table({"a": fp[linked], "b": fp[root[linked]]})
+        fp = np.sort(np.asarray(table.column("fp")))
+        pairs = forest(fp.view(np.uint64), r, overlap, 2 + key[0].as_py())
+        return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+
+    return points.select("fp").mapInArrow(route, "leaf int, fp bigint").repartition(sum(t.leaves for t in grown), "leaf").groupBy("leaf").applyInArrow(link, "a bigint, b bigint")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, shingles): the distinct shingles of each row as ascending 64-bit hashes (packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1).to_pylist():
+                w = t.lower().split()
+                k = min(shingle, len(w))
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)] if w else [], np.uint64)))
+            yield pa.record_batch([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(pack_sorted, sets)), pa.binary())], names=["id", "n", "shingles"])
 
-    return points.select("fp").mapInArrow(route, "leaf int, fp bigint").groupBy("leaf").applyInArrow(link, "a bigint, b bigint")
+    return mapped(docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).cast("binary").alias("text")), run, "id bigint, n bigint, shingles binary")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b, x, y) whose documents x and y have a Jaccard similarity of shingles of at least ``similarity``."""
+    wanted = keep(pairs.select(F.explode(F.array("x", "y")).alias("_id")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = keep(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]), shingle), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True):
+                p, q = unpack_sorted(p), unpack_sorted(q)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common >= similarity * (len(p) + len(q) - common))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (sets.select(F.col("id").alias(i), F.col("shingles").alias(c)) for i, c in (("x", "p"), ("y", "q")))
+    return mapped(pairs.join(one, "x").join(two, "y").select("a", "b", "p", "q"), run, "a bigint, b bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r: int = 12, overlap: int = 4, trees: int = 2) -> DataFrame:
+    """``docs`` with one document, the one with the smallest id, of each group of near duplicates.
+
+    Fingerprints within r bits are candidates, found through trees that keep the triangle
+    bound of ``overlap``: two fingerprints r bits apart differ far less than r in their
+    distance to a vantage point, and several trees have to part a pair to lose it. Each
+    candidate link is kept only if the documents' sets of shingles are as similar as asked.
+    """
+    marked = keep(with_fingerprints(docs, shingle), "fingerprints")
+    points = keep(marked.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "points")
+    edges = near_pairs_forest(points, r, overlap, trees)
+    one, two = (points.select(F.col("fp").alias(c), F.col("least").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    pairs = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(two, "b"), "candidates")
+    roots = components(similar_pairs(docs, pairs, shingle, similarity), "a", "b")
+    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    stays = named.groupBy("root").agg(F.min("least").alias("stays"))
+    labels = named.join(stays, "root").select(F.col("fp").alias("_fp"), "stays")
+    gone = keep(marked.join(labels, F.col("fp") == F.col("_fp")).filter("id <> stays").select(F.col("id").alias("_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, r: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
