@@ -13,6 +13,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,9 +105,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, stays: str = "min") -> DataFrame:
-    """``docs`` without the rows that are exact copies; ids are expected to be unique (of a repeated id with equal text one row stays)."""
-    verdict = exact_duplicates(docs, stays=stays).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    cols = docs.columns
-    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict._id), "left_semi").select(*cols)
+    """``docs`` without exact copies; of rows with one id and equal texts one stays."""
+    verdict = exact_duplicates(docs, stays=stays).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    keyed = mapped(docs.select("doc_id", text_or_empty().alias("text"), F.struct("*").alias("row")), _keyed, f"_key bigint, _digest binary, row {docs.select(F.struct('*').alias('row')).dtypes[0][1]}")
+    kept = keyed.join(verdict, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    return kept.dropDuplicates(["_key", "_digest"]).select("row.*")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        norm = pc.ascii_lower(b.column(1)).to_pylist()
+        yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in norm], pa.binary()), b.column(2)], names=["_key", "_digest", "row"])

@@ -35,7 +35,7 @@ SALT = 16
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every document.
+    """doc_id, text_hash, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every document.
 
     Repeated 3-word windows are found inside the row: windows as (64-bit hash, 32-bit
     hash, position) are sorted, equal neighbours mark their positions, and marked
@@ -53,11 +53,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))
-        .select("doc_id", "lang", "source", "text", words.alias("words"), lines.alias("lines"))
-        .select("doc_id", "lang", "source", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("chars"), F.regexp_count("text", F.lit(SYMBOLS)).alias("symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dups"), F.when(F.size("words") >= 3, F.array_sort(window)).otherwise(F.array()).alias("windows"))
-        .select("doc_id", "lang", "source", "n", "chars", "symbols", "dups", repeated.alias("starts"))
-        .select("doc_id", "lang", "source", *(F.col(c).cast("bigint").alias(a) for c, a in (("n", "n_words"), ("chars", "word_chars"), ("symbols", "n_symbols"), ("dups", "n_dup_lines"))), covered.cast("bigint").alias("n_repeat_words"))
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "source", text_or_empty().alias("text"))
+        .select("doc_id", "text_hash", "lang", "source", "text", words.alias("words"), lines.alias("lines"))
+        .select("doc_id", "text_hash", "lang", "source", F.size("words").alias("n"), F.length(F.array_join("words", "")).alias("chars"), F.regexp_count("text", F.lit(SYMBOLS)).alias("symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dups"), F.when(F.size("words") >= 3, F.array_sort(window)).otherwise(F.array()).alias("windows"))
+        .select("doc_id", "text_hash", "lang", "source", "n", "chars", "symbols", "dups", repeated.alias("starts"))
+        .select("doc_id", "text_hash", "lang", "source", *(F.col(c).cast("bigint").alias(a) for c, a in (("n", "n_words"), ("chars", "word_chars"), ("symbols", "n_symbols"), ("dups", "n_dup_lines"))), covered.cast("bigint").alias("n_repeat_words"))
     )
 
 
@@ -109,6 +109,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """``docs`` without what the rules reject."""
-    kept = judge(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    """``docs`` without the rows that the rules reject."""
+    kept = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash")), "left_semi")
