@@ -2,19 +2,19 @@
 
 Documents are dealt into chunks by id. What a chunk asks of the corpus goes out as blocks:
 its distinct keys of one part of the key space, sorted and packed. One task for each part
-puts the blocks of all chunks together and answers with one bit for each key. So a key
-that a third of all documents share is sent once by each chunk, not once by each document.
-
-1. Each scheme (recompressed words, sampled byte positions) cuts texts into *landmark*
-   keys that depend on nothing but their surroundings, so that any two equal windows hold
-   the same landmark. Question: does another document have this landmark?
-2. Windows whose landmarks allow it are hashed whole. Question: does a document
-   with a smaller id have this window?
-3. The bytes or words that such windows cover are removed.
-
-The three passes over the texts read one and the same exchange. A window is named by 64
-bits of one hash and, through its part, by log2(parts) bits of an independent second one;
-parts grow with the corpus.
+puts the blocks of all chunks together and answers with a bit or two for each key. So a
+key that a third of all documents share is sent once by each chunk, not once by each document.
+
+1. A scheme cuts texts into *landmark* keys that depend on nothing but their surroundings,
+   so that any two equal windows hold the same landmark. Question: does another document
+   have this landmark?
+2. Windows whose landmarks allow it are hashed whole. Question: does a document with a
+   smaller id have this window?
+3. The tokens that such windows cover are removed.
+
+All passes over the texts read one and the same exchange. A window is named by 64 bits of
+one hash and, through its part, by log2(parts) bits of an independent second one; parts
+grow with the corpus.
 """
 
 from __future__ import annotations
@@ -126,6 +126,7 @@ def _blocks(chunk: int, keys: np.ndarray, part: np.ndarray, docs: np.ndarray, ex
     return rows, asked
 
 
+ASK, ANSWER = "chunk bigint, part bigint, keys binary, extra binary", "chunk bigint, part bigint, bits binary"
 _ASK = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("bits", pa.binary())])
 
@@ -172,19 +173,66 @@ def _candidates(tokens: Tokens, scheme: Scheme, shared: np.ndarray) -> tuple[np.
     return s, Spans(tokens.values)(s, s + WINDOW), Spans(tokens.values, 1)(s, s + WINDOW)
 
 
+def stripped(piece: pa.Table, texts: list[bytes], tokens: Tokens, starts: np.ndarray, ends: np.ndarray, left_of, left_type: pa.DataType, digest, carry: bool) -> pa.Table:
+    """The result rows of some texts, given the ranges of tokens to remove."""
+    n = len(tokens.values)
+    depth = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
+    covered = np.cumsum(depth)[:n] > 0
+    each = [covered[a:b] for a, b in zip(tokens.starts[:-1], tokens.starts[1:], strict=True)]
+    left = [left_of(t, c) for t, c in zip(texts, each, strict=True)]
+    if digest:
+        left = list(map(digest, left))
+    spans = [int(c[:1].sum()) + int((c[1:] & ~c[:-1]).sum()) for c in each]
+    return pa.table([piece.column("id"), pa.array(np.diff(tokens.starts), pa.int64()), pa.array([int(c.sum()) for c in each], pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.string() if digest else left_type), *([piece.column("rest")] if carry else [])], names=["id", "n_tokens", "n_removed", "n_spans", "left", *["rest"] * carry])
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, int, int]:
+    """(chunk, id, text, rest) of every row, the number of parts of the key space, and the bytes of text."""
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = int(max(-(-size // CHUNK_BYTES), partitions(spark) // 2, 1))
+    chunks = int(max(-(-size // CHUNK_BYTES), 2 * partitions(spark)))
+    texts = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
+    return texts, parts, size
+
+
+def result_schema(docs: DataFrame, left: str, carry: list[str]) -> str:
+    kinds = dict(docs.dtypes)
+    rest = ", ".join(f"`{c}`: {kinds[c]}" for c in carry)
+    return f"id bigint, n_tokens bigint, n_removed bigint, n_spans bigint, left {left}" + (f", rest struct<{rest}>" if carry else "")
+
+
+def answer_windows(key, table):
+    """For each key of each chunk: does a smaller document than the chunk's smallest have it? A row of part -1 - chunk is handed through."""
+    part = key[0].as_py()
+    if part < 0:
+        return _table([(-1 - part, -1, table.column("extra")[0].as_py())], _ANSWER)
+    asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
+    low = [unpack(x, np.int64) for x in table.column("extra").to_pylist()]
+    keys, ids = np.concatenate(asked), np.concatenate(low)
+    bits = np.split(least_of(keys, ids)[0] < ids, np.cumsum(list(map(len, asked)))[:-1])
+    return _table([(c, part, np.packbits(b).tobytes()) for c, b in zip(table.column("chunk").to_pylist(), bits, strict=True)], _ANSWER)
+
+
+def least_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the smallest id of its key, and the order that sorts the keys."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    least = np.empty_like(ids)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.r_[first, len(keys)]))
+    return least, order
+
+
 def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str, carry: list[str], digest: Callable[[object], object] | None = None) -> DataFrame:
-    """(id, n_tokens, n_removed, n_spans, left, *carry) of every row: what is left once each token is removed that a window covers which also starts in a document with a smaller id.
+    """(id, n_tokens, n_removed, n_spans, left[, rest]) of every row: what is left once each token is removed that a window covers which also starts in a document with a smaller id.
 
     Null ids count as larger than all others; a null text as empty; rows with one id as
     one document (their windows do not remove each other's). Names of further columns do
     not matter, those in ``carry`` are handed through.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = int(max(-(-size // CHUNK_BYTES), partitions(spark) // 2, 1))
-    chunks = int(max(-(-size // CHUNK_BYTES), 2 * partitions(spark)))
-    texts = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(True).alias("_"), *[F.col(c) for c in carry]).alias("rest"))
+    texts, parts, _ = dealt(docs, id_col, text_col, carry)
     window_parts = np.uint64(parts)
 
     def ask_landmarks(key, table):
@@ -217,20 +265,6 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,
         rows = _blocks(chunk, keys, part, ids, lambda low, _: pack(low))[0]
         return _table([*rows, (chunk, -1 - chunk, b"", pack_sorted(shared))], _ASK)  # the last goes through to the third pass
 
-    def answer_windows(key, table):
-        part = key[0].as_py()
-        if part < 0:
-            return _table([(-1 - part, -1, table.column("extra")[0].as_py())], _ANSWER)
-        asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        low = [unpack(x, np.int64) for x in table.column("extra").to_pylist()]
-        keys, ids = np.concatenate(asked), np.concatenate(low)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        least = np.empty_like(ids)
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.r_[first, len(keys)]))
-        bits = np.split(least < ids, np.cumsum(list(map(len, asked)))[:-1])
-        return _table([(c, part, np.packbits(b).tobytes()) for c, b in zip(table.column("chunk").to_pylist(), bits, strict=True)], _ANSWER)
-
     def remove(key, table, answers):
         chunk = key[0].as_py()
         said = dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))
@@ -252,23 +286,10 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str,
                 k, low, elsewhere = verdict[int(part[here[0]])]
                 at = np.searchsorted(k, one[here])
                 gone[here] = elsewhere[at] | (low[at] < own[here])
-            n = len(tokens.values)
-            depth = np.bincount(s[gone], minlength=n + 1)[: n + 1] - np.bincount(s[gone] + WINDOW, minlength=n + 1)[: n + 1]
-            covered = np.cumsum(depth)[:n] > 0
-            each = [covered[a:b] for a, b in zip(tokens.starts[:-1], tokens.starts[1:], strict=True)]
-            left = [scheme.left(t, c) for t, c in zip(texts, each, strict=True)]
-            if digest:
-                left = list(map(digest, left))
-            spans = [int(c[:1].sum()) + int((c[1:] & ~c[:-1]).sum()) for c in each]
-            rest = piece.column("rest").combine_chunks()
-            rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
-            out.append(pa.table([piece.column("id"), pa.array(np.diff(tokens.starts), pa.int64()), pa.array([int(c.sum()) for c in each], pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.string() if digest else scheme.left_type), *[rest.field(c) for c in carry]], names=["id", "n_tokens", "n_removed", "n_spans", "left", *carry]))
+            out.append(stripped(piece, texts, tokens, s[gone], s[gone] + WINDOW, scheme.left, scheme.left_type, digest, bool(carry)))
         return pa.concat_tables(out)
 
-    kinds = dict(docs.dtypes)
-    left_kind = "string" if digest or scheme.left_type == pa.string() else "binary"
-    schema = "id bigint, n_tokens bigint, n_removed bigint, n_spans bigint, left " + left_kind + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    ask, answer = "chunk bigint, part bigint, keys binary, extra binary", "chunk bigint, part bigint, bits binary"
-    known = texts.groupBy("chunk").applyInArrow(ask_landmarks, ask).groupBy("part").applyInArrow(answer_landmarks, answer)
-    told = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ask_windows, ask).groupBy("part").applyInArrow(answer_windows, answer)
+    schema = result_schema(docs, "string" if digest or scheme.left_type == pa.string() else "binary", carry)
+    known = texts.groupBy("chunk").applyInArrow(ask_landmarks, ASK).groupBy("part").applyInArrow(answer_landmarks, ANSWER)
+    told = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ask_windows, ASK).groupBy("part").applyInArrow(answer_windows, ANSWER)
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)

@@ -1,20 +1,28 @@
 """Suffix-array dedup by prefix doubling, over UTF-8 bytes.
 
 Positions are ranked by growing prefixes. A rank is a hash, so equal prefixes get equal
-ranks in every partition, and a rank of twice the length comes from the pair of ranks at
-a position and at an offset. A position leaves as soon as its prefix is unique.
-
-The rounds inside a chunk double 1, 2, 4, 8, 16 bytes. The first one that is exchanged
-(16 at offset 10: 26 bytes) takes a sample of positions chosen by content alone: of any 25
-neighbouring ones the least rank. Each 50-byte string holds the position that is least
-among its first 25, with its 26 bytes, so a string for which that rank is not shared is
-unique and is discarded. The last round ranks the positions that
-remain by all 50 bytes and tells which occur in an earlier document. Ranking every
-position in every round would exchange some twenty bytes for each byte of text in each
-round.
-
-Edge cases: a null text is empty; matches never cross documents; see ``remove_repeats``
-for null and repeated ids.
+ranks in every partition, and a longer rank comes from the pair of ranks at a position and
+at an offset. A position leaves as soon as it is unique, or decided.
+
+    1, 2, 4, 8, 16 bytes   inside a chunk
+    26 bytes (16 at offset 10)
+        exchanged for a sample of positions that content alone chooses: a 50-byte string
+        is represented by the least rank among its first 25 positions. Does another
+        document have that rank? If not, the string is unique.
+    runs   neighbouring strings with one representative, at most 25 of them, as one rank
+        of all their bytes. Exchanged: does a smaller document have the same run? Then all
+        its strings are repeated. Is it the only run with its representative? Then nothing
+        is left to compare.
+    50 bytes
+        exchanged for what remains: of each group of equal runs the smallest document's
+        strings, where other runs have the same representative.
+
+Ranking every position in every round would exchange some twenty bytes for each byte of
+text in each round; here rounds two to four exchange a part of the text's size.
+
+Edge cases: a null text is empty; matches never cross documents; null ids count as larger
+than all others; rows with one id count as one document; texts of any length are compared
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
-from .repeats import WINDOW, Scheme, Tokens, remove_repeats
+from .common import mix64, pack, pack_sorted, unpack, unpack_sorted
+from .repeats import _ANSWER, _ASK, ANSWER, ASK, WINDOW, Spans, Tokens, _blocks, _distinct, _steps, _table, answer_windows, dealt, is_in, least_of, result_schema, stripped
 
 #: Bytes of the first exchanged rank.
 PREFIX = 26
 _SAMPLE = WINDOW - PREFIX + 1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_TOP = np.iinfo(np.uint64).max
 
 
 def positions(texts: list[bytes]) -> Tokens:
@@ -61,29 +68,24 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def _least(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """The rank of each position by PREFIX bytes, and the least rank of each _SAMPLE neighbours."""
+def runs(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, representative) of each run of neighbouring windows; none across texts."""
+    n = len(tokens.values)
+    if n < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     rank = ranks(tokens.values, PREFIX)
-    cut = (tokens.starts[1:-1, None] - np.arange(1, PREFIX)).ravel()  # prefixes across the end of a text
-    rank[cut[(cut >= 0) & (cut < len(rank))]] = _TOP
-    return rank, _sliding(rank, _SAMPLE, np.minimum)
-
-
-def landmarks(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled positions: those with the least rank of any _SAMPLE neighbours (all that tie)."""
-    if len(tokens.values) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    rank, least = _least(tokens)
-    pad = np.zeros(_SAMPLE - 1, np.uint64)
-    chosen = np.flatnonzero((_sliding(np.concatenate([pad, least, pad]), _SAMPLE, np.maximum) == rank) & (rank != _TOP))
-    return chosen, rank[chosen]
-
-
-def possible(tokens: Tokens, shared) -> np.ndarray:
-    """Windows whose least rank is shared."""
-    least = _least(tokens)[1]
-    new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return np.repeat(shared(least[new]), np.diff(np.r_[new, len(least)]))
+    least = _sliding(rank, _SAMPLE, np.minimum)
+    room = np.diff(tokens.starts)
+    whole = np.zeros(n + 2, np.int64)  # windows inside one text
+    np.add.at(whole, tokens.starts[:-1][room >= WINDOW], 1)
+    np.add.at(whole, tokens.starts[1:][room >= WINDOW] - WINDOW + 1, -1)
+    inside = np.cumsum(whole)[: len(least)] > 0
+    new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
+    new[tokens.starts[:-1][tokens.starts[:-1] < len(new)]] = True
+    new = np.flatnonzero(new)
+    size = np.diff(np.r_[new, len(least)])
+    ok = inside[new]
+    return new[ok], size[ok], least[new[ok]]
 
 
 def left(text: bytes, covered: np.ndarray) -> bytes:
@@ -100,10 +102,180 @@ def left_text(text: bytes, covered: np.ndarray) -> str:
     return raw[gone == 0].tobytes().decode()
 
 
-SCHEME = Scheme(positions, landmarks, possible, left, pa.binary())
-TEXT_SCHEME = Scheme(positions, landmarks, possible, left_text, pa.string())
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Equal ranges of the key space, so that ascending keys lie part by part."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _said(answers: pa.Table) -> dict[int, bytes]:
+    return dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+
+
+def _bits(data: bytes, n: int, fields: int = 1) -> list[np.ndarray]:
+    size = -(-n // 8)
+    return [np.unpackbits(np.frombuffer(data, np.uint8, size, k * size), count=n).astype(bool) for k in range(fields)]
+
+
+class Chunk:
+    """The texts of one chunk with their runs, and what the corpus has said about them."""
+
+    def __init__(self, table: pa.Table, parts: int, bits: int):
+        self.parts, self.drop = parts, np.uint64(64 - bits)
+        self.steps = []
+        for piece, ids, texts in _steps(table):
+            tokens = positions(texts)
+            start, size, key = runs(tokens)
+            self.steps.append((piece, texts, start, size, key, ids[np.searchsorted(tokens.starts, start, "right") - 1]))
+
+    def _all(self, column: int, kind) -> np.ndarray:
+        return np.concatenate([np.empty(0, kind), *[s[column] for s in self.steps]])
+
+    def representatives(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ranks (their leading bits) with the smallest and largest document."""
+        return _distinct(self._all(4, np.uint64) >> self.drop, self._all(5, np.int64))
+
+    def split(self, keys: np.ndarray, full_bits: bool) -> list[tuple[int, slice]]:
+        part = _part(keys if full_bits else keys << self.drop, self.parts)
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+        return [(int(part[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def shared(self, said: dict[int, bytes]) -> np.ndarray:
+        keys, _, _ = self.representatives()
+        return np.concatenate([np.empty(0, np.uint64), *[keys[s][_bits(said[p], s.stop - s.start)[0]] for p, s in self.split(keys, False)]])
+
+    def narrow(self, shared: np.ndarray) -> None:
+        """Keep the runs whose representative is shared, with the key of the whole run: 32 bits of the representative, 32 of all bytes."""
+        steps = []
+        for piece, texts, start, size, key, own in self.steps:
+            at = np.flatnonzero(is_in(shared, key >> self.drop))
+            start, size, key, own = start[at], size[at], key[at], own[at]
+            if len(at):
+                body = Spans(positions(texts).values)(start, start + size + WINDOW - 1) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                key = key >> np.uint64(32) << np.uint64(32) | mix64(body) >> np.uint64(32)
+            steps.append((piece, texts, start, size, key, own))
+        self.steps = steps
+
+    def whole_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        return _distinct(self._all(4, np.uint64), self._all(5, np.int64))[:2]
+
+    def decide(self, said: dict[int, bytes]) -> None:
+        """Replace each step's keys by the verdict: 1 a smaller document has the run, 2 its windows are still to be compared, 0 nothing has."""
+        keys, low = self.whole_runs()
+        smaller, others = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for p, s in self.split(keys, True):
+            smaller[s], others[s] = _bits(said[p], s.stop - s.start, 2)
+        steps = []
+        for piece, texts, start, size, key, own in self.steps:
+            at = np.searchsorted(keys, key)
+            verdict = np.where(smaller[at] | (low[at] < own), 1, np.where(others[at], 2, 0)) if len(key) else np.empty(0, np.int64)
+            steps.append((piece, texts, start, size, verdict, own))
+        self.steps = steps
+
+    def windows(self):
+        """Of each step (starts, documents, key, part) of the windows still to be compared."""
+        for _, texts, start, size, verdict, own in self.steps:
+            at = np.flatnonzero(verdict == 2)
+            total = np.cumsum(size[at])
+            s = np.repeat(start[at] - (total - size[at]), size[at]) + np.arange(total[-1] if len(at) else 0)
+            if not len(s):
+                yield s.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+                continue
+            values = positions(texts).values
+            yield s, np.repeat(own[at], size[at]), Spans(values)(s, s + WINDOW), (Spans(values, 1)(s, s + WINDOW) % np.uint64(self.parts)).astype(np.int64)
 
 
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, digest: bool = False, as_text: bool = False) -> DataFrame:
-    """(id, n_tokens, n_removed, n_spans, left): bytes covered by a 50-byte string that an earlier document has are gone; ``left`` is bytes, text (whole characters) or the bytes' sha256."""
-    return remove_repeats(docs, TEXT_SCHEME if as_text else SCHEME, id_col, text_col, carry or [], (lambda b: hashlib.sha256(b).hexdigest()) if digest else None)
+    """(id, n_tokens, n_removed, n_spans, left[, rest]) of every row: bytes covered by a 50-byte string that an earlier document has are gone; ``left`` is bytes, text (whole characters) or the bytes' sha256; ``rest`` has the columns named in ``carry``."""
+    carry = carry or []
+    texts, parts, total = dealt(docs, id_col, text_col, carry)
+    bits = min(64, max(40, int(total).bit_length() + 10))  # enough for few false meetings, which cost a comparison each
+    left_of, left_type = (left_text, pa.string()) if as_text else (left, pa.binary())
+    sha = (lambda b: hashlib.sha256(b.encode() if as_text else b).hexdigest()) if digest else None
+
+    def ask_ranks(key, table):
+        chunk = Chunk(table, parts, bits)
+        keys, low, high = chunk.representatives()
+        return _table([(key[0].as_py(), p, pack_sorted(keys[s]), np.packbits(high[s] > low[s]).tobytes()) for p, s in chunk.split(keys, False)], _ASK)
+
+    def answer_ranks(key, table):
+        asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
+        several = [_bits(x, len(k))[0] for x, k in zip(table.column("extra").to_pylist(), asked, strict=True)]
+        every, place, times = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        shared = ((times > 1) | (np.bincount(place, np.concatenate(several), len(every)) > 0))[place]
+        return _table([(c, key[0].as_py(), np.packbits(b).tobytes()) for c, b in zip(table.column("chunk").to_pylist(), np.split(shared, np.cumsum(list(map(len, asked)))[:-1]), strict=True)], _ANSWER)
+
+    def ask_runs(key, table, answers):
+        chunk = Chunk(table, parts, bits)
+        shared = chunk.shared(_said(answers))
+        chunk.narrow(shared)
+        keys, low = chunk.whole_runs()
+        me = key[0].as_py()
+        rows = [(me, p, pack_sorted(keys[s]), pack(low[s])) for p, s in chunk.split(keys, True)]
+        return _table([*rows, (me, -1 - me, b"", pack_sorted(shared))], _ASK)
+
+    def answer_runs(key, table):
+        part = key[0].as_py()
+        if part < 0:
+            return answer_windows(key, table)
+        asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
+        keys, ids = np.concatenate(asked), np.concatenate([unpack(x, np.int64) for x in table.column("extra").to_pylist()])
+        least, _ = least_of(keys, ids)
+        distinct = np.unique(keys)
+        heads, place, times = np.unique(distinct >> np.uint64(32), return_inverse=True, return_counts=True)
+        others = (times[place] > 1)[np.searchsorted(distinct, keys)]
+        ends = np.cumsum(list(map(len, asked)))[:-1]
+        return _table([(c, part, np.packbits(a).tobytes() + np.packbits(b).tobytes()) for c, a, b in zip(table.column("chunk").to_pylist(), np.split(least < ids, ends), np.split(others, ends), strict=True)], _ANSWER)
+
+    def decided(table, answers):
+        said = _said(answers)
+        chunk = Chunk(table, parts, bits)
+        chunk.narrow(unpack_sorted(said[-1]))
+        return chunk, said
+
+    def ask_windows(key, table, answers):
+        chunk, said = decided(table, answers)
+        keys, _ = chunk.whole_runs()
+        verdicts = b"".join(said[p] for p, _ in chunk.split(keys, True))
+        chunk.decide(said)
+        found = list(chunk.windows())
+        me = key[0].as_py()
+        ids, keys, part = (np.concatenate([np.empty(0, k), *[f[i] for f in found]]) for i, k in ((1, np.int64), (2, np.uint64), (3, np.int64)))
+        rows, _ = _blocks(me, keys, part, ids, lambda low, _: pack(low))
+        return _table([*rows, (me, -1 - me, b"", len(said[-1]).to_bytes(8, "little") + said[-1] + verdicts)], _ASK)
+
+    def remove(key, table, answers):
+        said = _said(answers)
+        memo = said.pop(-1)
+        n = 8 + int.from_bytes(memo[:8], "little")
+        chunk = Chunk(table, parts, bits)
+        chunk.narrow(unpack_sorted(memo[8:n]))
+        verdicts = {}
+        for p, s in chunk.split(chunk.whole_runs()[0], True):
+            size = 2 * -(-(s.stop - s.start) // 8)
+            verdicts[p], n = memo[n : n + size], n + size
+        chunk.decide(verdicts)
+        found = list(chunk.windows())
+        ids, keys, part = (np.concatenate([np.empty(0, k), *[f[i] for f in found]]) for i, k in ((1, np.int64), (2, np.uint64), (3, np.int64)))
+        known = {p: (k, low, _bits(said[p], len(k))[0]) for p, k, low in _blocks(key[0].as_py(), keys, part, ids, lambda *_: b"")[1]}
+        out = []
+        for (piece, texts, start, size, verdict, _), (s, own, keys, part) in zip(chunk.steps, found, strict=True):
+            gone = np.zeros(len(s), bool)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True]) if len(s) else np.zeros(1, int)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                here = order[a:b]
+                k, low, elsewhere = known[int(part[here[0]])]
+                at = np.searchsorted(k, keys[here])
+                gone[here] = elsewhere[at] | (low[at] < own[here])
+            full = np.flatnonzero(verdict == 1)
+            starts, ends = np.concatenate([s[gone], start[full]]), np.concatenate([s[gone] + WINDOW, start[full] + size[full] - 1 + WINDOW])
+            out.append(stripped(piece, texts, positions(texts), starts, ends, left_of, left_type, sha, bool(carry)))
+        return pa.concat_tables(out)
+
+    def each(answers):
+        return texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+
+    one = texts.groupBy("chunk").applyInArrow(ask_ranks, ASK).groupBy("part").applyInArrow(answer_ranks, ANSWER)
+    two = each(one).applyInArrow(ask_runs, ASK).groupBy("part").applyInArrow(answer_runs, ANSWER)
+    three = each(two).applyInArrow(ask_windows, ASK).groupBy("part").applyInArrow(answer_windows, ANSWER)
+    return each(three).applyInArrow(remove, result_schema(docs, "string" if digest or as_text else "binary", carry)).withColumnRenamed("id", id_col)
