@@ -31,7 +31,7 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ɏ]+|[0-9]|[^\\sa-z0-9À-ɏ]+")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the tokenizer does not
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 BATCH_CHARS = 1 << 20
 
 
@@ -147,7 +147,10 @@ class WordBPE:
             best = best - np.arange(len(best))
             symbols, words, rank, made = symbols[stay], words[stay], rank[stay], made[stay]
             # Only pairs with a new symbol have another rank than before.
-            fresh = np.unique(np.concatenate([best, best[best > 0] - 1]))
+            touched = np.zeros(len(symbols), bool)
+            touched[best] = True
+            touched[best[best > 0] - 1] = True
+            fresh = np.flatnonzero(touched)
             after = np.minimum(fresh + 1, len(symbols) - 1)
             rank[fresh], made[fresh] = self._pairs(symbols[fresh], symbols[after], (after > fresh) & (words[after] == words[fresh]))
         if not done:
@@ -173,26 +176,28 @@ class WordBPE:
         return [bytes(map(self._byte_of.__getitem__, p)) for p, _ in self._split(self._normalize(chunk))]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks and append their ids to the cache."""
-        pieces, owner, fixed = [], [], []
-        for i, c in enumerate(chunks):
-            for p in self._pieces(c):
-                fixed.append(p if isinstance(p, int) else -1)
-                pieces.append(b"\0" if isinstance(p, int) else p)
-                owner.append(i)
-        if pieces:
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            raw = np.frombuffer(b"".join(pieces), np.uint8)
-            symbols, ends, words = self._first[raw], np.cumsum(sizes) - 1, np.repeat(np.arange(len(pieces)), sizes)
-            symbols[ends] = self._last[raw[ends]]
-            whole = np.flatnonzero(np.array(fixed) >= 0)
-            symbols, words = self.merge(symbols, words)
-            if len(whole):
-                symbols[np.searchsorted(words, whole)] = np.array(fixed)[whole]
-            counts = np.bincount(np.array(owner)[words], minlength=len(chunks))
-        else:
-            symbols, counts = np.empty(0, np.int64), np.zeros(len(chunks), np.int64)
-        self._store(chunks, symbols, counts)
+        """Encode new chunks, word by word, and append their ids to the cache."""
+        pieces = [self._pieces(c) for c in chunks]
+        number = _Index()
+        at = np.array(list(map(number.__getitem__, [p for ps in pieces for p in ps])), np.int64)
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        words: list = number.new
+        if not words:
+            return self._store(chunks, np.empty(0, np.int64), counts)
+        special = [i for i, w in enumerate(words) if isinstance(w, int)]
+        text = [b"\0" if isinstance(w, int) else w for w in words] if special else words
+        sizes = np.fromiter(map(len, text), np.int64, len(text))
+        raw = np.frombuffer(b"".join(text), np.uint8)
+        symbols, ends = self._first[raw], np.cumsum(sizes) - 1
+        symbols[ends] = self._last[raw[ends]]
+        symbols, owner = self.merge(symbols, np.repeat(np.arange(len(text)), sizes))
+        if special:
+            symbols[np.searchsorted(owner, special)] = [words[i] for i in special]
+        first = np.searchsorted(owner, np.arange(len(text) + 1))
+        size = np.diff(first)[at]
+        total = np.cumsum(size)
+        ids = symbols[np.repeat(first[at] - (total - size), size) + np.arange(total[-1])]
+        self._store(chunks, ids, np.diff(np.r_[0, total][np.cumsum(counts)], prepend=0))
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array (uint32), and the number of ids of each text."""

@@ -34,7 +34,7 @@ from .common import keep, mapped, mix64, pack, slices, unpack
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard's index.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -87,16 +87,23 @@ class Index:
     def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean: float):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
-        keys = np.sort(np.repeat(np.arange(self.n, dtype=np.uint64) << np.uint64(32), lengths) + np.concatenate(docs).astype(np.uint64)) if lengths.sum() else np.empty(0, np.uint64)
+        kind, half = (np.uint32, 16) if self.n <= 1 << 16 and len(frequency) <= 1 << 16 else (np.uint64, 32)
+        keys = np.repeat(np.arange(self.n, dtype=kind) << kind(half), lengths)
+        if len(keys):
+            keys |= np.concatenate(docs).astype(kind)
+        keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        times = np.diff(np.r_[first, len(keys)])
-        doc, term = (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
-        weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[doc] / max(mean, 1.0)))
+        times = np.diff(np.r_[first, len(keys)]).astype(np.float32)
+        keys = keys[first]
+        del first
+        doc, term = (keys >> kind(half)).astype(np.int32), (keys & kind((1 << half) - 1)).astype(np.uint16 if half == 16 else np.int64)
+        idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * lengths / max(mean, 1.0))).astype(np.float32)
+        weight = idf[term] * times * np.float32(K1 + 1) / (times + norm[doc])
         self._own_terms, self._own_weight = term, weight
         self._own = np.searchsorted(doc, np.arange(self.n + 1))
-        order = np.argsort(term.astype(np.uint16) if len(frequency) <= 1 << 16 else term, kind="stable")
-        self._docs, self._weight = doc[order], weight[order].astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        self._docs, self._weight = doc[order], weight[order]
         self._at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:

@@ -129,13 +129,15 @@ class Tree:
         return np.concatenate([a for a, _ in found]), np.concatenate([np.full(len(a), n) for a, n in found])
 
 
-def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2) -> np.ndarray:
+def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2, layers: int = 1) -> np.ndarray:
     """Pairs of indices of distinct points within r bits that connect what all such pairs connect, nearest pairs first inside a piece.
 
     ``overlap``: the triangle bound that splits keep, r if exact. A smaller one lets
     pairs of a distance over it be parted now and then.
+    ``layers``: that many forests, each of what the ones before left, so that a link is
+    still there if some of the links that made it needless turn out wrong.
     """
-    root = np.arange(len(points))
+    root = np.tile(np.arange(len(points)), (layers, 1))
     rng = np.random.default_rng(seed)
     stack, found = [np.arange(len(points))], [np.empty((0, 2), np.int64)]
     while stack:
@@ -154,17 +156,20 @@ def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2
             order = np.argsort(apart[i, j], kind="stable")
             i, j = at[a + i[order]], at[a + j[order]]
             while len(i):
-                # The first pair joins two trees; then only pairs that still join different ones matter.
-                p, q = int(root[i[0]]), int(root[j[0]])
+                # The first pair joins two trees of some layer; then only pairs that still join different ones matter.
+                p, q = root[:, i[0]], root[:, j[0]]
+                layer = int(np.argmax(p != q))
+                p, q = int(p[layer]), int(q[layer])
                 if p != q:
-                    root[root == max(p, q)] = min(p, q)
+                    root[layer][root[layer] == max(p, q)] = min(p, q)
                     found.append(np.array([[i[0], j[0]]]))
-                open_ = root[i] != root[j]
+                i, j = i[1:], j[1:]
+                open_ = (root[:, i] != root[:, j]).any(0)
                 i, j = i[open_], j[open_]
     return np.concatenate(found)
 
 
-def near_pairs_forest(points: DataFrame, r: int, overlap: int | None = None, trees: int = 1) -> DataFrame:
+def near_pairs_forest(points: DataFrame, r: int, overlap: int | None = None, trees: int = 1, layers: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of column ``fp`` that connect them exactly as all pairs within r bits would (see ``forest`` for ``overlap``; more trees make up for parted pairs)."""
     spark = points.sparkSession
     ship(spark)
@@ -183,7 +188,7 @@ def near_pairs_forest(points: DataFrame, r: int, overlap: int | None = None, tre
 
     def link(key, table):
         fp = np.sort(np.asarray(table.column("fp")))
-        pairs = forest(fp.view(np.uint64), r, overlap, 2 + key[0].as_py())
+        pairs = forest(fp.view(np.uint64), r, overlap, 2 + key[0].as_py(), layers)
         return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
     return points.select("fp").mapInArrow(route, "leaf int, fp bigint").repartition(sum(t.leaves for t in grown), "leaf").groupBy("leaf").applyInArrow(link, "a bigint, b bigint")
@@ -223,17 +228,18 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
     return mapped(pairs.join(one, "x").join(two, "y").select("a", "b", "p", "q"), run, "a bigint, b bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r: int = 12, overlap: int = 4, trees: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r: int = 14, overlap: int = 4, trees: int = 3, layers: int = 4) -> DataFrame:
     """``docs`` with one document, the one with the smallest id, of each group of near duplicates.
 
     Fingerprints within r bits are candidates, found through trees that keep the triangle
     bound of ``overlap``: two fingerprints r bits apart differ far less than r in their
     distance to a vantage point, and several trees have to part a pair to lose it. Each
-    candidate link is kept only if the documents' sets of shingles are as similar as asked.
+    candidate link is kept only if the documents' sets of shingles are as similar as asked;
+    ``layers`` forests of candidates keep a wrong link from hiding a right one.
     """
     marked = keep(with_fingerprints(docs, shingle), "fingerprints")
     points = keep(marked.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "points")
-    edges = near_pairs_forest(points, r, overlap, trees)
+    edges = near_pairs_forest(points, r, overlap, trees, layers)
     one, two = (points.select(F.col("fp").alias(c), F.col("least").alias(i)) for c, i in (("a", "x"), ("b", "y")))
     pairs = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(two, "b"), "candidates")
     roots = components(similar_pairs(docs, pairs, shingle, similarity), "a", "b")
