@@ -139,6 +139,7 @@ def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2
     """
     root = np.tile(np.arange(len(points)), (layers, 1))
     rng = np.random.default_rng(seed)
+    known: set[int] = set()
     stack, found = [np.arange(len(points))], [np.empty((0, 2), np.int64)]
     while stack:
         at = stack.pop()
@@ -155,6 +156,10 @@ def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2
             i, j = i[later], j[later]
             order = np.argsort(apart[i, j], kind="stable")
             i, j = at[a + i[order]], at[a + j[order]]
+            if layers > 1 and len(i):  # a pair that pieces share counts once
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                fresh = np.fromiter((c not in known for c in (i * len(points) + j).tolist()), bool, len(i))
+                i, j = i[fresh], j[fresh]
             while len(i):
                 # The first pair joins two trees of some layer; then only pairs that still join different ones matter.
                 p, q = root[:, i[0]], root[:, j[0]]
@@ -163,6 +168,7 @@ def forest(points: np.ndarray, r: int, overlap: int | None = None, seed: int = 2
                 if p != q:
                     root[layer][root[layer] == max(p, q)] = min(p, q)
                     found.append(np.array([[i[0], j[0]]]))
+                    known.add(int(i[0]) * len(points) + int(j[0]))
                 i, j = i[1:], j[1:]
                 open_ = (root[:, i] != root[:, j]).any(0)
                 i, j = i[open_], j[open_]
