@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .bpe import BATCH_CHARS, encoder
-from .common import keep, mapped, mix64, pack, slices, unpack
+from .common import keep, mapped, pack, slices, unpack
 
 WINDOW = 4096
 END_ID = 2
@@ -51,16 +51,20 @@ def _encode(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
             for a, b in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), 4 * BATCH_CHARS):
                 ids, counts = bpe.encode_batch([t or "" for t in batch.column(1)[a:b].to_pylist()])
                 ends = np.cumsum(counts)
-                doc = np.repeat(np.arange(b - a, dtype=np.uint64), counts)
-                pairs = np.sort(doc * np.uint64(1 << 32) + ids)
-                seen += np.bincount((pairs[np.r_[True, pairs[1:] != pairs[:-1]]] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=vocabulary) if len(pairs) else 0
-                hashed = mix64(ids.astype(np.uint64) * np.uint64(1 << 32) + np.r_[ids[1:], ids[:1]]) if len(ids) else np.empty(0, np.uint64)
-                near = np.zeros(b - a, np.uint64)
+                kind, half = (np.uint64, 32) if wide or b - a > 1 << 16 else (np.uint32, 16)
+                pairs = np.repeat(np.arange(b - a, dtype=kind) << kind(half), counts) | ids.astype(kind)
+                pairs.sort()
+                if len(pairs):
+                    seen += np.bincount((pairs[np.r_[True, pairs[1:] != pairs[:-1]]] & kind((1 << half) - 1)).astype(np.int64), minlength=vocabulary)
+                hashed = (ids * np.uint32(0x9E3779B1)) ^ (np.r_[ids[1:], ids[:1]] * np.uint32(0x85EBCA77))
+                hashed ^= hashed >> np.uint32(15)
+                hashed *= np.uint32(0x2C1B3C6D)
+                near = np.zeros(b - a, np.uint32)
                 some = np.flatnonzero(counts)
                 if len(some):
                     near[some] = np.minimum.reduceat(hashed, ends[some] - counts[some])
                 small = ids if wide else ids.astype(np.uint16)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array([small[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary()), pa.array(counts, pa.int64()), pa.array(near.view(np.int64))], names=["doc_id", "ids", "n", "near"])
+                yield pa.record_batch([batch.column(0)[a:b], pa.array([small[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary()), pa.array(counts, pa.int64()), pa.array(near, pa.int64())], names=["doc_id", "ids", "n", "near"])
         yield pa.record_batch([pa.array([None], pa.int64()), pa.array([pack(seen)], pa.binary()), pa.array([None], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64())], names=["doc_id", "ids", "n", "near"])
 
     return mapped(docs, run, "doc_id bigint, ids binary, n bigint, near bigint")
