@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ _NEVER = np.iinfo(np.int64).max
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ɏ]+|[0-9]|[^\\sa-z0-9À-ɏ]+")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the tokenizer does not
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"  # str.split() takes these as white space, the tokenizer does not
+_STOPS = frozenset(".,;:!?")
 CACHE_WORDS = 400_000
 BATCH_CHARS = 1 << 20
 
@@ -70,8 +72,7 @@ class WordBPE:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         end, chars = spec["model"]["end_of_word_suffix"] or "", _byte_chars()
         self._byte_of = {c: b for b, c in chars.items()}
-        self._first = np.array([vocab[chars[b]] for b in range(256)], np.int64)
-        self._last = np.array([vocab[chars[b] + end] for b in range(256)], np.int64)
+        self._base = np.array([vocab[chars[b]] for b in range(256)] + [vocab[chars[b] + end] for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in ((p[0] for p in pairs), (p[1] for p in pairs), (p[0] + p[1] for p in pairs)))
         keys, order = np.unique(left << 32 | right, return_index=True)
@@ -85,6 +86,8 @@ class WordBPE:
         names: list[str] = [""] * n
         for t, i in (vocab | self.special).items():
             names[i] = t
+        # The first round's pairs are of single bytes: looked up once for all.
+        self._first_rank, self._first_made = (x.reshape(512, 512) for x in self._pairs(np.repeat(self._base, 512), np.tile(self._base, 512), np.repeat(np.arange(512) < 256, 512)))
         self._names = np.array([t.encode() for t in names], object)
         self._clear()
 
@@ -120,10 +123,11 @@ class WordBPE:
         self._ends[known + 1 : known + 1 + len(chunks)] = used + np.cumsum(counts)
         self._index.known = known + len(chunks)
 
-    def merge(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The final symbols and their words, from the first symbols of all words (words ascending)."""
+    def merge(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray | None = None, made: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The final symbols and their words, from the first symbols of all words (words ascending) and, where known, their pairs' ranks."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        rank, made = self._pairs(symbols, np.r_[symbols[1:], 0], np.r_[words[1:] == words[:-1], False]) if len(symbols) else (symbols, symbols)
+        if rank is None and len(symbols):
+            rank, made = self._pairs(symbols, np.r_[symbols[1:], 0], np.r_[words[1:] == words[:-1], False])
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
             low = np.minimum.reduceat(rank, starts)
@@ -171,33 +175,46 @@ class WordBPE:
             parts = self._special.split(chunk)
             if len(parts) > 1:
                 return [x for p in parts if p for x in ([self.special[p]] if p in self.special else self._pieces(p))]
-        if _PLAIN.fullmatch(chunk):
-            return [p.encode() for p in _PIECE.findall(chunk.lower())]
+        if chunk.isascii() or _PLAIN.fullmatch(chunk):
+            low = chunk.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[-1] in _STOPS and low[:-1].isalpha():
+                return [low[:-1].encode(), low[-1].encode()]
+            if chunk.isprintable():
+                return [p.encode() for p in _PIECE.findall(low)]
         return [bytes(map(self._byte_of.__getitem__, p)) for p, _ in self._split(self._normalize(chunk))]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, word by word, and append their ids to the cache."""
-        pieces = [self._pieces(c) for c in chunks]
-        number = _Index()
-        at = np.array(list(map(number.__getitem__, [p for ps in pieces for p in ps])), np.int64)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        words: list = number.new
+        """Encode new chunks and append their ids to the cache."""
+        words: list[bytes] = []
+        counts: list[int] = []
+        special: list[tuple[int, int]] = []
+        for c in chunks:
+            if c.isalpha() and c.isascii():
+                words.append(c.lower().encode())
+                counts.append(1)
+                continue
+            pieces = self._pieces(c)
+            counts.append(len(pieces))
+            for p in pieces:
+                if isinstance(p, int):
+                    special.append((len(words), p))
+                    p = b"\0"
+                words.append(p)
         if not words:
-            return self._store(chunks, np.empty(0, np.int64), counts)
-        special = [i for i, w in enumerate(words) if isinstance(w, int)]
-        text = [b"\0" if isinstance(w, int) else w for w in words] if special else words
-        sizes = np.fromiter(map(len, text), np.int64, len(text))
-        raw = np.frombuffer(b"".join(text), np.uint8)
-        symbols, ends = self._first[raw], np.cumsum(sizes) - 1
-        symbols[ends] = self._last[raw[ends]]
-        symbols, owner = self.merge(symbols, np.repeat(np.arange(len(text)), sizes))
-        if special:
-            symbols[np.searchsorted(owner, special)] = [words[i] for i in special]
-        first = np.searchsorted(owner, np.arange(len(text) + 1))
-        size = np.diff(first)[at]
-        total = np.cumsum(size)
-        ids = symbols[np.repeat(first[at] - (total - size), size) + np.arange(total[-1])]
-        self._store(chunks, ids, np.diff(np.r_[0, total][np.cumsum(counts)], prepend=0))
+            return self._store(chunks, np.empty(0, np.int64), np.zeros(len(chunks), np.int64))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        last = np.cumsum(sizes) - 1
+        kind = raw.astype(np.int64)
+        kind[last] += 256
+        rank, made = (t[kind, np.r_[kind[1:], 0]] for t in (self._first_rank, self._first_made))
+        symbols, owner = self.merge(self._base[kind], np.repeat(np.arange(len(words)), sizes), rank, made)
+        for i, token in special:
+            symbols[np.searchsorted(owner, i)] = token
+        size = np.bincount(owner, minlength=len(words))
+        return self._store(chunks, symbols, np.diff(np.r_[0, np.cumsum(size)][np.cumsum(counts)], prepend=0))
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array (uint32), and the number of ids of each text."""
@@ -209,9 +226,9 @@ class WordBPE:
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [list(filter(None, _SPACE.split(t))) if _ODD_SPACE.search(t) else t.split() for t in texts]
+        split = list(map(self._chunks, texts))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        chunks = [c for s in split for c in s]
+        chunks = list(chain.from_iterable(split))
         if len(self._index) > CACHE_WORDS:
             self._forget()
         at = list(map(self._index.__getitem__, chunks))
@@ -228,6 +245,17 @@ class WordBPE:
         upto = np.r_[0, total][np.cumsum(sizes)] if len(sizes) else np.empty(0, np.int64)
         return ids, np.diff(upto, prepend=0)
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        try:
+            # Where each character has one lower-case form and nothing composes, case goes first: fewer different chunks.
+            if "<|" not in text:
+                text.encode("latin-1")
+                text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return list(filter(None, _SPACE.split(text))) if any(c in text for c in _ODD_SPACES) else text.split()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the token strings joined by spaces, as the library decodes without a decoder; special tokens stay."""
         return b" ".join(self._names[ids].tolist())
