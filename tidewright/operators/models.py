@@ -29,10 +29,20 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("_n") / (2 * F.col("_c"))).drop("_c", "_n")
 
 
+#: Rows for each task of a fit: every iteration pays for its tasks.
+ROWS_PER_TASK = 2000
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """Kept, and in no more partitions than its rows need."""
+    kept = df.persist()
+    return kept.coalesce(1 + kept.count() // ROWS_PER_TASK)
+
+
 def importance(pool: DataFrame, target: DataFrame, l2: float, key: str = "utterance_id") -> DataFrame:
     """(key, score_logit, weight) of pool rows: how target-like each is. Columns: key, features."""
-    both = balanced(pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0)))).persist()
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, weightCol="weight").fit(both)
+    both = balanced(pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0))))
+    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, weightCol="weight").fit(_few_tasks(both))
     logits = model.transform(pool.withColumn("label", F.lit(0.0))).select(key, vector_to_array("rawPrediction")[1].alias("score_logit"))
     top = logits.agg(F.max("score_logit").alias("_m"))
     return logits.join(F.broadcast(top)).select(key, "score_logit", F.exp(F.col("score_logit") - F.col("_m")).alias("weight"))
@@ -48,7 +58,7 @@ def sweep(pool: DataFrame, target: DataFrame, every: int, penalties: list[float]
     both = both.withColumn("held", place % every == 0).persist()
     out = []
     for l2 in penalties:
-        model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, weightCol="weight").fit(balanced(both.filter("NOT held")))
+        model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, weightCol="weight").fit(_few_tasks(balanced(both.filter("NOT held"))))
         held = balanced(model.transform(both.filter("held")).select("label", vector_to_array("rawPrediction")[1].alias("z")))
         loss = held.agg(F.sum(F.col("weight") * softplus_loss(F.col("z"), F.col("label"))) / F.sum("weight")).first()[0]
         out.append({"l2": l2, "held_out_auc": auc(held, "z", "label").first().auc, "held_out_logloss": loss})
