@@ -25,7 +25,7 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Rate per 1000 -> the guard: at or below it a document is not an outlier.
-GUARDS = {"symbol_rate": 100, "dup_line_rate": 100, "repeat_rate": 300, "word_length": 12_000}
+GUARDS = {"symbol_rate": 100, "dup_line_rate": 100, "repeat_rate": 500, "word_length": 12_000}
 #: Multiple of the quartile range above the upper quartile.
 FENCE = 3
 #: Distinct (language, source) groups up to which their thresholds may be broadcast.
