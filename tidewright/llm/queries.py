@@ -42,7 +42,8 @@ def op3_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good; background: all documents."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    return scoring.cross_entropy_difference(documents(spark, sf_dir), good)
+    out = scoring.cross_entropy_difference(documents(spark, sf_dir), good)
+    return out.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +125,37 @@ j AS (SELECT a.file, a.page_id AS record_id, a."offset", a.length, a.sha AS expe
 SELECT * FROM j WHERE status IS NOT NULL
 """
 
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS ws, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
+t AS (SELECT doc_id, good, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS h FROM w WHERE len(ws) > 0),
+u AS (SELECT w, count(*) AS c0, count(*) FILTER (good) AS c1 FROM t GROUP BY w),
+b AS (SELECT h, w, count(*) AS c0, count(*) FILTER (good) AS c1 FROM t WHERE h IS NOT NULL GROUP BY h, w),
+n AS (SELECT greatest(count(*), 1)::DOUBLE AS v, greatest(sum(c0), 1)::DOUBLE AS n0, greatest(sum(c1), 1)::DOUBLE AS n1 FROM u),
+p AS (SELECT t.doc_id, {", ".join(f"CASE WHEN coalesce(g.c{k}, 0) > 0 THEN {scoring.A2}::DOUBLE * b.c{k} / g.c{k} + {scoring.A1}::DOUBLE * u.c{k} / n{k} ELSE {scoring.A2 + scoring.A1}::DOUBLE * u.c{k} / n{k} END + {scoring.A0}::DOUBLE / v AS p{k}" for k in (0, 1))}
+      FROM t JOIN u ON t.w = u.w LEFT JOIN u g ON t.h = g.w LEFT JOIN b ON t.h = b.h AND t.w = b.w, n),
+s AS (SELECT doc_id, -avg(ln(p1)) AS l1, -avg(ln(p0)) AS l0 FROM p GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, round(l1, 6) AS target_loss, round(l0, 6) AS background_loss, round(l0 - l1, 6) AS score FROM w LEFT JOIN s ON w.doc_id = s.doc_id
+"""
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(g), g) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(50) r(j)),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT word.doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
+byte AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS x, i FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+edge AS (SELECT doc_id, i, sum(n) AS n FROM (SELECT doc_id, i, 1 AS n FROM hit UNION ALL SELECT doc_id, i + 50, -1 FROM hit) GROUP BY doc_id, i),
+mark AS (SELECT byte.doc_id, byte.i, x, sum(coalesce(n, 0)) OVER (PARTITION BY byte.doc_id ORDER BY byte.i) > 0 AS gone FROM byte LEFT JOIN edge ON byte.doc_id = edge.doc_id AND byte.i = edge.i),
+run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS fresh FROM mark),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS t FROM run GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op4_cross_entropy, op5_bpe, op6_merkle_audit, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op6_merkle_audit": OP6_SQL, "op7_adaptive_quality": OP7_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op4_cross_entropy": OP4_SQL, "op9_recompression": OP9_SQL, "op10_prefix_doubling": OP10_SQL, "op6_merkle_audit": OP6_SQL, "op7_adaptive_quality": OP7_SQL}
