@@ -118,3 +118,20 @@ def test_sketches_merge(spark):
     parts = quality.sketch(c.filter("doc_id < 100")).unionByName(quality.sketch(c.filter("doc_id >= 100")))
     merged = parts.groupBy("lang", "source", "rate", "cell").sum("n")
     assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in quality.sketch(c).collect()}
+
+
+def test_given_sql_agrees(spark):
+    """The SQL of the queries, on the smallest tables."""
+    import duckdb
+
+    from tidewright.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    for name, sql in queries.SQL.items():
+        df = queries.QUERIES[name](spark, folder)
+        cols = sorted(df.columns)
+        want = con.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({sql})").fetchall()
+        assert sorted(map(repr, map(tuple, df.select(*[f"`{c}`" for c in cols]).collect()))) == sorted(map(repr, want)), name
