@@ -233,3 +233,13 @@ def test_uniform_and_schedule(spark):
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02
     lr = [r[0] for r in spark.range(100).select(numeric.learning_rate(F.col("id"), 10, 90)).collect()]
     assert lr[0] == 0.1 and lr[9] == 1.0 and lr[95] == 1e-8
+
+
+def test_row_numbers(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(50), f"k{i}", i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "x int, k string, g int")
+    got = sorted((r.row, r.x, r.k) for r in stats.numbered(df, ["x", "k"]).collect())
+    assert [g[1:] for g in got] == sorted((x, k) for x, k, _ in rows) and [g[0] for g in got] == list(range(500))
+    each = sorted((r.g, r.row, r.k) for r in stats.numbered(df, ["k"], by="g").collect())
+    assert [k for *_, k in each] == [k for _, k in sorted((g, k) for _, k, g in rows)]

@@ -61,6 +61,21 @@ def ranked(df: DataFrame, value: str, name: str = "rank", by: str | None = None)
     return df.join(rank, [*keys, value])
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "row", by: str | None = None) -> DataFrame:
+    """``df`` with row numbers from 0 in the given order, over all rows or inside each ``by``.
+
+    Rows are dealt by ranges of the order; each range's start is the sum of the counts
+    before it, so no task numbers more than its range.
+    """
+    keys = [by] if by else []
+    dealt = df.repartitionByRange(RANK_PARTS, *keys, *order).withColumn("_p", F.spark_partition_id()).persist()
+    counts = dealt.groupBy("_p", *keys).agg(F.count("*").alias("_c"))
+    start = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", *keys, F.coalesce(F.sum("_c").over(start), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)) - 1
+    return dealt.withColumn("_i", inside).join(starts, ["_p", *keys]).withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the Mann-Whitney AUC, null if a class is missing."""
     r = ranked(df, score)

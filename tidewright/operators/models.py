@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import distance, dot
@@ -51,11 +51,10 @@ def importance(pool: DataFrame, target: DataFrame, l2: float, key: str = "uttera
 def sweep(pool: DataFrame, target: DataFrame, every: int, penalties: list[float], key: str = "utterance_id") -> list[dict]:
     """For each penalty: fit without every n-th row of each class, AUC and log loss on those. Features are made once."""
     from ..functions.numeric import softplus_loss
-    from .metrics import auc
+    from .metrics import auc, numbered
 
     both = pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0)))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(key)) - 1
-    both = both.withColumn("held", place % every == 0).persist()
+    both = numbered(both, [key], "place", "label").withColumn("held", F.col("place") % every == 0).persist()
     out = []
     for l2 in penalties:
         model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, weightCol="weight").fit(_few_tasks(balanced(both.filter("NOT held"))))

@@ -91,9 +91,16 @@ def held_out(df: DataFrame, every: int, by: str) -> DataFrame:
 
 
 def band_pick(df: DataFrame, column: str, n: int, seed: str) -> DataFrame:
-    """One row from each of n equal-count bands, in seeded order (the bands are ntiles: a distributed variant of picking by quantile)."""
-    banded = df.withColumn("band", F.ntile(n).over(Window.orderBy(column, KEY)))
-    return banded.withColumn("_rn", F.row_number().over(Window.partitionBy("band").orderBy(numeric.uniform(seed, F.col(KEY)), KEY))).filter("_rn = 1").drop("_rn")
+    """One row from each of n equal-count bands, in seeded order (bands are those of ntile: a distributed variant of picking by quantile)."""
+    from .metrics import numbered
+
+    total = df.count()
+    size, more = divmod(total, n)  # the first ``more`` bands have one row more
+    placed = numbered(df, [column, KEY], "_row")
+    band = F.expr(f"CASE WHEN _row < {more * (size + 1)} THEN _row div {size + 1} + 1 ELSE {more} + (_row - {more * (size + 1)}) div {max(size, 1)} + 1 END")
+    banded = placed.select("*", band.alias("band"), numeric.uniform(seed, F.col(KEY)).alias("_u")).drop("_row")
+    first = banded.groupBy("band").agg(F.min(F.struct("_u", KEY)).alias("_f"))
+    return banded.join(F.broadcast(first), "band").filter((F.col("_u") == F.col("_f._u")) & (F.col(KEY) == F.col(f"_f.{KEY}"))).drop("_u", "_f")
 
 
 def characterize(ids: DataFrame, index: DataFrame, stats: DataFrame | None = None) -> DataFrame:
