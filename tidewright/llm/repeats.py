@@ -33,7 +33,7 @@ from .common import CHUNK_BYTES, mix64, pack, pack_sorted, partitions, slices, u
 
 WINDOW = 50
 #: Bytes of text whose arrays are held at once inside a chunk.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Ids that are null count as the largest.
 NULL_ID = np.iinfo(np.int64).max
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
