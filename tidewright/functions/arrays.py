@@ -40,8 +40,10 @@ def histogram(df: DataFrame, key: str, codes: str) -> DataFrame:
 
 
 def entropy(df: DataFrame, key: str, codes: str) -> DataFrame:
-    """(key, entropy) in bits."""
-    return histogram(df, key, codes).groupBy(key).agg((-F.sum(F.col("share") * F.log2("share"))).alias("entropy"))
+    """(key, entropy) in bits, as log2 t - sum(n log2 n) / t: counts are summed twice and nothing is joined."""
+    counts = df.select(key, F.explode(codes).alias("code")).groupBy(key, "code").agg(F.count("*").alias("n"))
+    t = F.sum("n")
+    return counts.groupBy(key).agg((F.log2(t) - F.sum(F.col("n") * F.log2("n")) / t).alias("entropy"))
 
 
 def features(df: DataFrame, key: str, codes: str, codebook: int = 1024, buckets: int = 65536) -> DataFrame:
