@@ -79,3 +79,18 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     print("recall", len(found) / len(wanted), "of", len(wanted))
     assert len(found) >= 0.9 * len(wanted) and all(d in left for d, j in near.items() if j < 0.8)
     assert simhash.drop_near_duplicates(docs.filter("false")).count() == 0
+
+
+def _padded(rnd, own, word="same", times=400):
+    """Words of one's own among repeats of one word, whose shingle decides the fingerprint."""
+    return " ".join([word] * times + [f"w{rnd.getrandbits(40)}" for _ in range(own)])
+
+
+def test_equal_fingerprints_are_no_link(spark):
+    rnd = random.Random(5)
+    texts = [_padded(rnd, 800) for _ in range(12)]
+    assert len(set(simhash.fingerprints([t.encode() for t in texts], 5).tolist())) < 12
+    rows = list(enumerate(texts)) + [(100, texts[7] + " more"), (101, texts[3].upper() + "  "), (None, texts[1])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d string").repartition(3)
+    left = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(left, key=lambda d: -1 if d is None else d) == [None, *range(12)]

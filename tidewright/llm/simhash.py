@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import keep, mapped, pack_sorted, partitions, slices, text_or_empty, unpack_sorted
+from .common import keep, mapped, mix64, pack, pack_sorted, partitions, slices, text_or_empty, unpack, unpack_sorted
 from .components import components
 
 SAMPLE = 20_000
@@ -37,7 +37,12 @@ MIN_SHARDS, MAX_SHARDS, SHARD_POINTS = 16, 64, 1 << 20
 PIECE = 1024
 #: Ids up to which a list of them may be broadcast.
 BROADCAST_IDS = 200_000
+#: Documents of the sample that says which shingles are common, in how many of them such a one is, and how many are told.
+COMMON_SAMPLE, COMMON, COMMON_MOST = 8192, 3, 1 << 20
+#: Prefix shingles of one part.
+PART_KEYS = 2_000_000
 _STEP = 1 << 20
+_PAIR_ROWS = 512
 
 
 def fingerprints(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
@@ -200,26 +205,158 @@ def near_pairs_forest(points: DataFrame, r: int, overlap: int | None = None, tre
     return points.select("fp").mapInArrow(route, "leaf int, fp bigint").repartition(sum(t.leaves for t in grown), "leaf").groupBy("leaf").applyInArrow(link, "a bigint, b bigint")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, shingles): the distinct shingles of each row as ascending 64-bit hashes (packed)."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as ascending 64-bit hashes, each chained from the hashes of its words."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = mix64(out + h[i : i + len(out)])
+    return np.unique(out)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float = 1.0, common: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, d, n, shingles) of each row: a digest of its set of shingles, their number, and the set (packed).
+
+    With ``common``, in place of the set its prefix: any two sets as similar as asked share
+    a shingle of their prefixes, because the order (not in ``common`` first, then by place
+    in it, then by hash) is one for all and a prefix leaves out less than such a set must share.
+    """
+    place = None if common is None else np.argsort(common)
+    ascending = None if common is None else common[place]
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        n = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+        if not len(s) or not len(ascending):
+            return s[:n]
+        at = np.minimum(np.searchsorted(ascending, s), len(ascending) - 1)
+        return np.sort(s[np.argsort(np.where(ascending[at] == s, place[at], -1), kind="stable")[:n]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column(1).to_pylist():
-                w = t.lower().split()
-                k = min(shingle, len(w))
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)] if w else [], np.uint64)))
-            yield pa.record_batch([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(pack_sorted, sets)), pa.binary())], names=["id", "n", "shingles"])
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            kept = sets if common is None else map(prefix, sets)
+            yield pa.record_batch([b.column(0), pa.array(digests), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(pack_sorted, kept)), pa.binary())], names=["id", "d", "n", "shingles"])
+
+    return mapped(docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).cast("binary").alias("text")), run, "id bigint, d bigint, n bigint, shingles binary")
 
-    return mapped(docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).cast("binary").alias("text")), run, "id bigint, n bigint, shingles binary")
 
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that several documents of a bounded sample have, rarest first. They only shape the order of ``shingle_sets``; no shingle is left out for being common."""
+    every = max(1, docs.count() // COMMON_SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b, x, y) whose documents x and y have a Jaccard similarity of shingles of at least ``similarity``."""
-    wanted = keep(pairs.select(F.explode(F.array("x", "y")).alias("_id")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = keep(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]), shingle), "shingles")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array(unpack_sorted(x).view(np.int64))], names=["h"])
+
+    counted = mapped(shingle_sets(sample, shingle).select("shingles"), run, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON)
+    rows = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).toArrow()
+    return np.asarray(rows.column("h").combine_chunks()).view(np.uint64)[::-1].copy()
+
+
+def shared_shingles(marked: DataFrame, parts: int) -> DataFrame:
+    """(key, d, n, next, next_n) of each prefix shingle of ``marked`` that two sets have: a row for each of its sets, with the one that follows by size."""
+
+    def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        d, n = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+        keys, at = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        order = np.argsort(keys)
+        keys, at = keys[order], at[order]
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some, which = np.unique(at[a:b], return_inverse=True)
+            rows.append((int(part[a]), pack_sorted(keys[a:b]), pack(which.astype(np.uint32)), pack(d[some]), pack(n[some])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.record_batch([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "keys", "which", "d", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for d, n, x in zip(*(b.column(c).to_pylist() for c in ("d", "n", "shingles")), strict=True):
+                held.append((d, n, unpack_sorted(x)))
+                size += len(held[-1][2])
+                if size >= _STEP:
+                    yield block(held)
+                    held, size = [], 0
+        if size:
+            yield block(held)
+
+    def meet(key, table):
+        keys, d, n = [], [], []
+        for k, w, x, y in zip(*(table.column(c).to_pylist() for c in ("keys", "which", "d", "n")), strict=True):
+            which = unpack(w, np.uint32)
+            keys.append(unpack_sorted(k))
+            d.append(unpack(x, np.int64)[which])
+            n.append(unpack(y, np.int64)[which])
+        keys, d, n = map(np.concatenate, (keys, d, n))
+        _, times = np.unique(keys, return_counts=True)
+        order = np.argsort(keys, kind="stable")
+        order = order[np.repeat(times > 1, times)]
+        keys, d, n = keys[order], d[order], n[order]
+        order = np.lexsort((d, n, keys))
+        keys, d, n = keys[order], d[order], n[order]
+        fresh = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (d[1:] != d[:-1])]) if len(keys) else np.empty(0, np.int64)
+        keys, d, n = keys[fresh], d[fresh], n[fresh]
+        follows = np.r_[keys[1:] == keys[:-1], False] if len(keys) else np.empty(0, bool)
+        ok = follows | np.r_[False, follows[:-1]] if len(keys) else follows
+        cols = {"key": keys.view(np.int64), "d": d, "n": n}
+        out = {c: pa.array(x[ok]) for c, x in cols.items()}
+        out |= {c: pa.array(np.r_[x[1:], x[:1]][ok], mask=~follows[ok]) for c, x in (("next", d), ("next_n", n))}
+        return pa.table(out)
+
+    blocks = mapped(marked.select("d", "n", "shingles"), deal, "part bigint, keys binary, which binary, d binary, n binary")
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(meet, "key bigint, d bigint, n bigint, next bigint, next_n bigint")
+
+
+def pairs_across(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the distinct pairs of sets with a key in common, a different root, and sizes that allow the similarity. No list of a key is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("key", "n", "d", "root")]))
+        key, n, d, root = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "n", "d", "root"))
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
+        found, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        mixed = np.minimum.reduceat(root, edges[:-1]) < np.maximum.reduceat(root, edges[:-1]) if len(key) else np.empty(0, bool)
+        for a, b in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
+            for i in range(a, b, _PAIR_ROWS):
+                j = min(i + _PAIR_ROWS, b)
+                end = a + int(np.searchsorted(n[a:b], n[j - 1] / similarity + 1e-6, "right"))
+                p, q = np.nonzero((root[i:j, None] != root[None, i:end]) & (n[i:j, None] >= similarity * n[None, i:end] - 1e-6))
+                later = q > p
+                x, y = d[i + p[later]], d[i + q[later]]
+                if len(x):
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                    size += len(x)
+                    if size >= _STEP:
+                        yield batch()
+                        found, size = [], 0
+        if size:
+            yield batch()
+
+    sorted_ = shared.select("key", "n", "d", "root").repartition("key").sortWithinPartitions("key", "n")
+    return mapped(sorted_, run, "a bigint, b bigint").distinct()
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) of digests whose sets of shingles have a Jaccard similarity of at least ``similarity``; ``points`` names a document (least) for each digest."""
+    wanted = keep(points.join(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d", "left_semi").select(F.col("d").alias("_d"), F.col("least").alias("_id")), "wanted")
+    ids = wanted.select("_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    sets = shingle_sets(docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), shingle)
+    sets = keep(sets.join(wanted.select("_d"), F.col("d") == F.col("_d"), "left_semi").dropDuplicates(["d"]), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,29 +367,36 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
                 ok.append(common >= similarity * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("id").alias(i), F.col("shingles").alias(c)) for i, c in (("x", "p"), ("y", "q")))
-    return mapped(pairs.join(one, "x").join(two, "y").select("a", "b", "p", "q"), run, "a bigint, b bigint")
+    one, two = (sets.select(F.col("d").alias(i), F.col("shingles").alias(c)) for i, c in (("a", "p"), ("b", "q")))
+    return mapped(pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q"), run, "a bigint, b bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r: int = 14, overlap: int = 4, trees: int = 3, layers: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, the one with the smallest id, of each group of near duplicates.
 
-    Fingerprints within r bits are candidates, found through trees that keep the triangle
-    bound of ``overlap``: two fingerprints r bits apart differ far less than r in their
-    distance to a vantage point, and several trees have to part a pair to lose it. Each
-    candidate link is kept only if the documents' sets of shingles are as similar as asked;
-    ``layers`` forests of candidates keep a wrong link from hiding a right one.
+    A vertex is a distinct set of shingles, and two are linked if their Jaccard similarity
+    is as asked: all such pairs share a shingle of their prefixes (``shingle_sets``), and no
+    pair counts as a link before its sets have been compared. First each shingle's sets are
+    compared along a chain by size, which joins large groups with few comparisons; then
+    every pair that shares a shingle and is not joined yet. So components are those of all
+    similar pairs.
     """
-    marked = keep(with_fingerprints(docs, shingle), "fingerprints")
-    points = keep(marked.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "points")
-    edges = near_pairs_forest(points, r, overlap, trees, layers)
-    one, two = (points.select(F.col("fp").alias(c), F.col("least").alias(i)) for c, i in (("a", "x"), ("b", "y")))
-    pairs = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(two, "b"), "candidates")
-    roots = components(similar_pairs(docs, pairs, shingle, similarity), "a", "b")
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    spark = docs.sparkSession
+    marked = keep(shingle_sets(docs, shingle, similarity, common_shingles(docs, shingle)), "shingles")
+    points = keep(marked.filter("id IS NOT NULL").groupBy("d").agg(F.min("id").alias("least")), "points")
+    total = marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = keep(shared_shingles(marked.filter("id IS NOT NULL"), max(partitions(spark), int(total * (1 - similarity)) // PART_KEYS)), "shared")
+    chain = shared.filter((F.col("next") != F.col("d")) & (F.col("n") >= similarity * F.col("next_n") - 1e-6))
+    first = keep(chain.select(F.least("d", "next").alias("a"), F.greatest("d", "next").alias("b")).distinct(), "chain")
+    links = keep(similar_pairs(docs, first, points, shingle, similarity), "links")
+    roots = components(links, "a", "b").withColumnRenamed("node", "d")
+    rest = pairs_across(shared.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d")), similarity)
+    rest = keep(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    links = links.union(similar_pairs(docs, rest, points, shingle, similarity))
+    named = points.join(components(links, "a", "b").withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("root", "d").alias("root"))
     stays = named.groupBy("root").agg(F.min("least").alias("stays"))
-    labels = named.join(stays, "root").select(F.col("fp").alias("_fp"), "stays")
-    gone = keep(marked.join(labels, F.col("fp") == F.col("_fp")).filter("id <> stays").select(F.col("id").alias("_id")).distinct(), "gone")
+    labels = named.join(stays, "root").select("d", "stays")
+    gone = keep(marked.join(labels, "d").filter("id <> stays").select(F.col("id").alias("_id")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
 
