@@ -94,3 +94,33 @@ def test_equal_fingerprints_are_no_link(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d string").repartition(3)
     left = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
     assert sorted(left, key=lambda d: -1 if d is None else d) == [None, *range(12)]
+
+
+def test_wrong_candidates_hide_no_link(spark):
+    """Hundreds of unrelated documents within 14 bits of one another, and every similar pair among them is found."""
+    rnd = random.Random(6)
+    rows, near = [], set()
+    for i in range(400):
+        words = _padded(rnd, 200, times=22).split()
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:
+            for k in rnd.sample(range(30, len(words)), 3):
+                words[k] = "edited"
+            near.add(1000 + i)
+            rows.append((1000 + i, " ".join(words)))
+    fps = simhash.fingerprints([t.encode() for _, t in rows], 5)
+    assert (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 14).sum(1).mean() > 100
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d string").repartition(3)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert left == set(range(400))
+
+
+def test_near_copies_of_one_key_over_several_blocks(spark, monkeypatch):
+    """A link that the chain by size misses is found among all pairs of a shingle."""
+    monkeypatch.setattr(simhash, "_PAIR_ROWS", 3)
+    rnd = random.Random(7)
+    line = " ".join(f"c{k}" for k in range(8))
+    rows = [(i, " ".join([line] + [f"w{rnd.getrandbits(40)}" for _ in range(22)])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 40, 3)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(range(40))
