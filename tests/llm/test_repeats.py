@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import brute
 
@@ -92,3 +93,17 @@ def test_landmarks_of_equal_windows():
             at = 1 + len(before.encode())
             found.add(int(k[(s <= at) & (at < s + n)][0]))
         assert len(found) == 1
+
+
+def test_runs_of_one_representative_have_64_bits_of_their_own(monkeypatch):
+    """Different contexts of one frequent string stay apart even where half of the bits of their hashes agree."""
+    rnd = random.Random(8)
+    middle = "the one line of every page."
+    texts = [("".join(rnd.choices("abcdefgh", k=40)) + middle + "".join(rnd.choices("abcdefgh", k=40))).encode() for _ in range(50)]
+    chunk = suffixes.Chunk(pa.table({"id": pa.array(range(50), pa.int64()), "text": pa.array(texts, pa.binary())}), 4, 64)
+    want = {(int(k), bytes(t)) for _, ts, start, size, key, _ in chunk.steps for s, n, k in zip(start, size, key) for t in [b"".join(ts)[s : s + n + 49]]}
+    assert len({k for k, _ in want}) < len(want)
+    real = suffixes.mix64
+    monkeypatch.setattr(suffixes, "mix64", lambda x: real(x) & np.uint64(0xFFFFFFFF))
+    chunk.narrow(chunk.representatives()[0])
+    assert len(chunk.whole_runs()[0]) == len(want)

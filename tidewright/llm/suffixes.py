@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix64, pack, pack_sorted, unpack, unpack_sorted
-from .repeats import _ANSWER, _ASK, ANSWER, ASK, WINDOW, Spans, Tokens, _blocks, _distinct, _steps, _table, answer_windows, dealt, is_in, least_of, result_schema, stripped
+from .repeats import _ANSWER, _ASK, ANSWER, ASK, WINDOW, Spans, Tokens, _blocks, _distinct, _steps, _table, answer_windows, dealt, is_in, result_schema, stripped
 
 #: Bytes of the first exchanged rank.
 PREFIX = 26
@@ -107,6 +107,16 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _named(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, place): an ascending order of pairs, where in it each distinct pair begins, and which distinct pair each one is."""
+    order = np.lexsort((body, head))
+    h, b = head[order], body[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])] if len(h) else np.empty(0, bool)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
 def _said(answers: pa.Table) -> dict[int, bytes]:
     return dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))
 
@@ -144,29 +154,33 @@ class Chunk:
         return np.concatenate([np.empty(0, np.uint64), *[keys[s][_bits(said[p], s.stop - s.start)[0]] for p, s in self.split(keys, False)]])
 
     def narrow(self, shared: np.ndarray) -> None:
-        """Keep the runs whose representative is shared, with the key of the whole run: 32 bits of the representative, 32 of all bytes."""
+        """Keep the runs whose representative is shared, with the key of the whole run: 32 bits of the representative and, apart from them, 64 of all bytes."""
         steps = []
         for piece, texts, start, size, key, own in self.steps:
             at = np.flatnonzero(is_in(shared, key >> self.drop))
             start, size, key, own = start[at], size[at], key[at], own[at]
+            body = np.empty(0, np.uint64)
             if len(at):
-                body = Spans(positions(texts).values)(start, start + size + WINDOW - 1) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                key = key >> np.uint64(32) << np.uint64(32) | mix64(body) >> np.uint64(32)
-            steps.append((piece, texts, start, size, key, own))
+                body = mix64(Spans(positions(texts).values)(start, start + size + WINDOW - 1) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            steps.append((piece, texts, start, size, key >> np.uint64(32), own, body))
         self.steps = steps
 
-    def whole_runs(self) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct(self._all(4, np.uint64), self._all(5, np.int64))[:2]
+    def whole_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct run, ascending, both parts of its key and the smallest document; and which of them each run is."""
+        head, own, body = self._all(4, np.uint64), self._all(5, np.int64), self._all(6, np.uint64)
+        order, first, place = _named(head, body)
+        low = np.minimum.reduceat(own[order], first) if len(first) else own
+        return head[order][first], body[order][first], low, place
 
     def decide(self, said: dict[int, bytes]) -> None:
         """Replace each step's keys by the verdict: 1 a smaller document has the run, 2 its windows are still to be compared, 0 nothing has."""
-        keys, low = self.whole_runs()
-        smaller, others = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        for p, s in self.split(keys, True):
+        head, _, low, place = self.whole_runs()
+        smaller, others = np.zeros(len(head), bool), np.zeros(len(head), bool)
+        for p, s in self.split(head << np.uint64(32), True):
             smaller[s], others[s] = _bits(said[p], s.stop - s.start, 2)
-        steps = []
-        for piece, texts, start, size, key, own in self.steps:
-            at = np.searchsorted(keys, key)
+        steps, done = [], 0
+        for piece, texts, start, size, key, own, _ in self.steps:
+            at, done = place[done : done + len(key)], done + len(key)
             verdict = np.where(smaller[at] | (low[at] < own), 1, np.where(others[at], 2, 0)) if len(key) else np.empty(0, np.int64)
             steps.append((piece, texts, start, size, verdict, own))
         self.steps = steps
@@ -208,9 +222,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         chunk = Chunk(table, parts, bits)
         shared = chunk.shared(_said(answers))
         chunk.narrow(shared)
-        keys, low = chunk.whole_runs()
+        head, body, low, _ = chunk.whole_runs()
         me = key[0].as_py()
-        rows = [(me, p, pack_sorted(keys[s]), pack(low[s])) for p, s in chunk.split(keys, True)]
+        rows = [(me, p, pack_sorted(head[s]), len(x := pack(low[s])).to_bytes(8, "little") + x + pack(body[s])) for p, s in chunk.split(head << np.uint64(32), True)]
         return _table([*rows, (me, -1 - me, b"", pack_sorted(shared))], _ASK)
 
     def answer_runs(key, table):
@@ -218,11 +232,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         if part < 0:
             return answer_windows(key, table)
         asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        keys, ids = np.concatenate(asked), np.concatenate([unpack(x, np.int64) for x in table.column("extra").to_pylist()])
-        least, _ = least_of(keys, ids)
-        distinct = np.unique(keys)
-        heads, place, times = np.unique(distinct >> np.uint64(32), return_inverse=True, return_counts=True)
-        others = (times[place] > 1)[np.searchsorted(distinct, keys)]
+        extra = [(x[8:n], x[n:]) for x in table.column("extra").to_pylist() for n in [8 + int.from_bytes(x[:8], "little")]]
+        head, ids, body = np.concatenate(asked), np.concatenate([unpack(x, np.int64) for x, _ in extra]), np.concatenate([unpack(x, np.uint64) for _, x in extra])
+        order, first, place = _named(head, body)
+        least = np.minimum.reduceat(ids[order], first)[place]
+        _, which, times = np.unique(head[order][first], return_inverse=True, return_counts=True)
+        others = (times[which] > 1)[place]
         ends = np.cumsum(list(map(len, asked)))[:-1]
         return _table([(c, part, np.packbits(a).tobytes() + np.packbits(b).tobytes()) for c, a, b in zip(table.column("chunk").to_pylist(), np.split(least < ids, ends), np.split(others, ends), strict=True)], _ANSWER)
 
@@ -234,8 +249,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     def ask_windows(key, table, answers):
         chunk, said = decided(table, answers)
-        keys, _ = chunk.whole_runs()
-        verdicts = b"".join(said[p] for p, _ in chunk.split(keys, True))
+        verdicts = b"".join(said[p] for p, _ in chunk.split(chunk.whole_runs()[0] << np.uint64(32), True))
         chunk.decide(said)
         found = list(chunk.windows())
         me = key[0].as_py()
@@ -250,7 +264,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         chunk = Chunk(table, parts, bits)
         chunk.narrow(unpack_sorted(memo[8:n]))
         verdicts = {}
-        for p, s in chunk.split(chunk.whole_runs()[0], True):
+        for p, s in chunk.split(chunk.whole_runs()[0] << np.uint64(32), True):
             size = 2 * -(-(s.stop - s.start) // 8)
             verdicts[p], n = memo[n : n + size], n + size
         chunk.decide(verdicts)
