@@ -65,3 +65,24 @@ def test_bm25_against_plain_formula():
         assert sorted(got) == sorted(d for d, s in score.items() if s > 0)
         ordered = [score[d] for d in got]
         assert ordered == pytest.approx(sorted(ordered, reverse=True), rel=1e-5)
+
+
+def test_long_seeds_are_scored_by_all_their_terms():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 2000, rng.integers(300, 900)).astype(np.uint16) for _ in range(40)]
+    sets = [np.unique(d) for d in docs]
+    df = np.bincount(np.concatenate(sets), minlength=2000).astype(float)
+    mean = np.mean([len(d) for d in docs])
+    index = packing.Index(docs, df, len(docs), mean)
+    tf = np.array([np.bincount(d, minlength=2000) for d in docs])
+    length = np.array([len(d) for d in docs])[:, None]
+    weight = np.log1p((40 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    for seed in range(10):
+        assert len(sets[seed]) > 200
+        used = np.zeros(40, bool)
+        used[seed] = True
+        score = weight[:, sets[seed]].sum(1)
+        got = list(index.neighbours(seed, used))
+        assert sorted(got) == [d for d in range(40) if d != seed]
+        ordered = [score[d] for d in got]
+        assert ordered == pytest.approx(sorted(ordered, reverse=True), rel=1e-5)

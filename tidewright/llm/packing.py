@@ -5,7 +5,7 @@ many documents each id occurs; these document frequencies, over all documents, a
 number for each id of the vocabulary, which bounds what goes to the driver. Documents are
 range-partitioned by a min-hash of their id pairs, so documents with common passages meet
 in one shard and a group of copies of any size spreads evenly. Each shard builds a BM25
-inverted index of its documents. A seed document queries it with its heaviest terms; its
+inverted index of its documents. A seed document queries it with all its terms; its
 unused neighbours, best first, fill the window; the one that overflows is cut and its
 rest is the next seed. Windows are therefore full; what is left at a shard's end is cut
 into sequences whose lengths are powers of two, which need no padding.
@@ -35,8 +35,6 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard's index.
 SHARD_TOKENS = 2 << 20
-#: Terms of a seed that are looked up.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 _PARTS = 64
 
@@ -104,19 +102,16 @@ class Index:
         idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * lengths / max(mean, 1.0))).astype(np.float32)
         weight = idf[term] * times * np.float32(K1 + 1) / (times + norm[doc])
-        self._own_terms, self._own_weight = term, weight
+        self._own_terms = term
         self._own = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
         self._docs, self._weight = doc[order], weight[order]
         self._at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents that have a query term of the seed, best first."""
+        """Unused documents that have a term of the seed, best first by all its terms."""
         a, b = self._own[seed], self._own[seed + 1]
-        terms, weight = self._own_terms[a:b], self._own_weight[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self._at[t], self._at[t + 1]) for t in terms.tolist()]
+        spans = [slice(self._at[t], self._at[t + 1]) for t in self._own_terms[a:b].tolist()]
         if not spans:
             return
         score = np.bincount(np.concatenate([self._docs[s] for s in spans]), np.concatenate([self._weight[s] for s in spans]), self.n)
