@@ -49,4 +49,4 @@ def test_query(spark, con, name):
 
 
 def test_only_operators_that_sql_cannot_express_have_none():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"text_normalize_digits", "kmeans", "dsir_fit", "dsir_sweep", "ctc_loss", "p_values"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"kmeans", "dsir_fit", "dsir_sweep"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import uniform
+
 
 def crop(streams: Column, start: Column, n: Column) -> Column:
     return F.transform(streams, lambda s: F.slice(s, start + 1, n))
@@ -23,36 +25,102 @@ def tile(values: Column, times: Column) -> Column:
     return F.flatten(F.array_repeat(values, times))
 
 
+def slice_wave(wave: Column, first_frame: Column, last_frame: Column, samples: int = 320) -> Column:
+    """The samples of a half-open range of frames."""
+    return F.slice(wave, first_frame * samples + 1, (last_frame - first_frame) * samples)
+
+
+def pad_batch(df: DataFrame, batch: str, streams: str, fill: int) -> DataFrame:
+    """``df`` with ``padded`` (each of a row's streams as long as the longest of its batch), ``mask`` and ``length``. The fill must be no code; rows of one batch have as many streams. Of a batch only two numbers are shuffled."""
+    if fill >= 0:
+        raise ValueError("the fill must be negative: codes begin at 0")
+    length = F.coalesce(F.array_max(F.transform(streams, lambda s: F.size(s))), F.lit(0))
+    shape = df.groupBy(batch).agg(F.max(length).alias("_n"), F.min(F.size(streams)).alias("_lo"), F.max(F.size(streams)).alias("_hi"))
+    n = F.when(F.col("_lo") == F.col("_hi"), F.col("_n")).otherwise(F.raise_error(F.lit("unlike numbers of streams")).cast("int"))
+    joined = df.join(shape, batch)
+    padded = F.transform(streams, lambda s: F.concat(s, F.array_repeat(F.lit(fill), n - F.size(s))))
+    return joined.select(*df.columns, padded.alias("padded"), F.transform(F.sequence(F.lit(1), n), lambda i: i <= length).alias("mask"), length.alias("length"))
+
+
+def zero_ranges(values: Column, ranges: list[tuple[Column, Column]]) -> Column:
+    """``values`` with 0 in each half-open range (start, width)."""
+    def hit(i: Column) -> Column:
+        out = F.lit(False)
+        for start, width in ranges:
+            out = out | ((i >= start) & (i < start + width))
+        return out
+
+    return F.transform(values, lambda x, i: F.when(hit(i), F.lit(0.0)).otherwise(x))
+
+
+def spec_augment(frames: Column, key: Column, seed: str, channels: int, bands: int = 2, band_width: int = 12, spans: int = 2, span_share: float = 0.15) -> Column:
+    """Frames (time by channels) with bands of channels at zero, the same for all rows of a seed, and spans of time, drawn for each row within its length."""
+    if min(bands, spans) < 0 or not 0 <= span_share <= 1:
+        raise ValueError("numbers of masks must not be negative, a share lies in [0, 1]")
+    draw = lambda name, n, k: F.floor(uniform(f"{seed}|{name}", k) * (n + 1))
+    wide = [draw(f"band{b}", F.lit(min(band_width, channels)), F.lit("all")) for b in range(bands)]
+    channel = [(draw(f"from{b}", F.lit(channels) - w, F.lit("all")), w) for b, w in enumerate(wide)]
+    n = F.size(frames)
+    long = [draw(f"span{b}", F.floor(n * span_share), key) for b in range(spans)]
+    time = [(draw(f"at{b}", n - w, key), w) for b, w in enumerate(long)]
+
+    def masked(f: Column, t: Column) -> Column:
+        out = F.lit(False)
+        for start, width in time:
+            out = out | ((t >= start) & (t < start + width))
+        return F.when(out, F.transform(f, lambda x: F.lit(0.0))).otherwise(zero_ranges(f, channel))
+
+    return F.transform(frames, masked)
+
+
 def out_of_range(codes: Column, top: int) -> Column:
     return F.exists(codes, lambda c: (c < 0) | (c >= top))
 
 
+def in_range(codes: Column, top: int) -> Column:
+    """The codes; one that no codebook of ``top`` entries has is an error."""
+    return F.when(out_of_range(codes, top), F.raise_error(F.lit("code out of range")).cast("array<int>")).otherwise(codes)
+
+
 def bigrams(codes: Column) -> Column:
     """Pairs of neighbours; none for fewer than two codes."""
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.when(F.size(codes) > 1, pairs).otherwise(F.filter(F.transform(codes, lambda c: F.struct(c.alias("a"), c.alias("b"))), lambda _: F.lit(False)))
 
 
-def histogram(df: DataFrame, key: str, codes: str) -> DataFrame:
-    """(key, code, n, share): share of each code, all shares of a key sum to 1."""
-    counts = df.select(key, F.explode(codes).alias("code")).groupBy(key, "code").agg(F.count("*").alias("n"))
-    return counts.join(df.select(key, F.size(codes).alias("_t")), key).select(key, "code", "n", (F.col("n") / F.col("_t")).alias("share"))
+def counted(values: Column) -> Column:
+    """Array of (value, n), ascending: sorted in the row, where equal neighbours make a run; nothing is shuffled."""
+    s = F.sort_array(values)
+    last = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("value"), (i + 1).alias("end"))), lambda r: F.coalesce(F.get(s, r["end"]) != r["value"], F.lit(True)))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(last, lambda r: r["end"])), F.lit(1), F.size(last))
+    return F.zip_with(last, before, lambda r, before: F.struct(r["value"].alias("value"), (r["end"] - before).alias("n")))
+
+
+def histogram(df: DataFrame, key: str, codes: str, codebook: int | None = None) -> DataFrame:
+    """(key, code, n, share): share of each code, all shares of a key sum to 1. With ``codebook`` other codes are an error."""
+    values = in_range(F.col(codes), codebook) if codebook else F.col(codes)
+    rows = df.select(key, F.size(codes).alias("_t"), F.sort_array(values).alias("_s"))
+    return rows.select(key, "_t", F.explode(counted(F.col("_s"))).alias("r")).select(key, F.col("r.value").alias("code"), F.col("r.n").cast("bigint").alias("n"), (F.col("r.n") / F.col("_t")).alias("share"))
 
 
 def entropy(df: DataFrame, key: str, codes: str) -> DataFrame:
-    """(key, entropy) in bits, as log2 t - sum(n log2 n) / t: counts are summed twice and nothing is joined."""
-    counts = df.select(key, F.explode(codes).alias("code")).groupBy(key, "code").agg(F.count("*").alias("n"))
-    t = F.sum("n")
-    return counts.groupBy(key).agg((F.log2(t) - F.sum(F.col("n") * F.log2("n")) / t).alias("entropy"))
+    """(key, entropy) in bits of rows with codes, as log2 t - sum(n log2 n) / t."""
+    rows = df.filter(F.size(codes) > 0).select(key, F.size(codes).alias("_t"), F.sort_array(codes).alias("_s"))
+    weighted = F.aggregate(counted(F.col("_s")), F.lit(0.0), lambda a, r: a + r["n"] * F.log2(r["n"].cast("double")))
+    return rows.select(key, (F.log2(F.col("_t").cast("double")) - weighted / F.col("_t")).alias("entropy"))
 
 
 def features(df: DataFrame, key: str, codes: str, codebook: int = 1024, buckets: int = 65536) -> DataFrame:
     """(key, idx, val): unigrams and hashed bigrams, equal mass for each block present, total 1."""
     n = F.size(codes)
     blocks = F.when(n > 1, 2).otherwise(1)
-    uni = F.transform(codes, lambda c: F.struct(c.cast("bigint").alias("idx"), (1 / (n * blocks)).alias("val")))
-    bi = F.transform(bigrams(F.col(codes)), lambda p: F.struct((F.pmod(p["a"].cast("bigint") * 1009 + p["b"], F.lit(buckets)) + codebook).alias("idx"), (1 / ((n - 1) * blocks)).alias("val")))
-    return df.select(key, F.explode(F.concat(uni, bi)).alias("f")).groupBy(key, F.col("f.idx").alias("idx")).agg(F.sum("f.val").alias("val"))
+    pairs = F.transform(bigrams(F.col(codes)), lambda p: F.pmod(p["a"].cast("bigint") * 1009 + p["b"], F.lit(buckets)) + codebook)
+    rows = df.filter(n > 0).select(key, (n * blocks).alias("_u"), ((n - 1) * blocks).alias("_b"), F.sort_array(F.transform(codes, lambda c: c.cast("bigint"))).alias("_s"), F.sort_array(pairs).alias("_p"))
+    def weighed(c: str, w: str) -> Column:
+        return F.transform(counted(F.col(c)), lambda r: F.struct(r["value"].alias("idx"), (r["n"] / F.col(w)).alias("val")))
+
+    each = F.concat(weighed("_s", "_u"), weighed("_p", "_b"))
+    return rows.select(key, F.explode(each).alias("f")).select(key, "f.idx", "f.val")
 
 
 def dot(a: Column, b: Column) -> Column:

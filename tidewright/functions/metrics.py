@@ -6,28 +6,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-def edit_distance(a: list, b: list) -> int:
-    row = np.arange(len(b) + 1)
-    other = np.array([hash(x) for x in b], np.int64)
-    steps = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (other != hash(x)))
-        new = np.concatenate(([i], new))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions, all at once
-    return int(row[-1])
+#: The first of the characters that stand for words, and how many there are before the surrogates.
+_FIRST, _MOST = 0x0100, 0xD700
 
 
-@F.pandas_udf(DoubleType())
-def wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+def _coded(words: Column, names: Column) -> Column:
+    """A string with one character for each word: its place among ``names``."""
+    place = lambda w: F.lpad(F.hex(F.array_position(names, w) + (_FIRST - 1)), 4, "0")
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(place(w)), "UTF-16BE")), "")
+
+
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """The edit distance of two arrays of words."""
+    names = F.array_distinct(F.concat(ref, hyp))
+    return F.when(F.size(names) <= _MOST, F.levenshtein(_coded(ref, names), _coded(hyp, names))).otherwise(F.raise_error(F.lit("too many different words")).cast("int"))
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def wer(ref: Column, hyp: Column) -> Column:
     """Word edits over reference words; null for a blank reference."""
-    out = []
-    for r, h in zip(ref, hyp):
-        words = r.split() if isinstance(r, str) else []
-        out.append(edit_distance(words, (h or "").split()) / len(words) if words else None)
-    return pd.Series(out, dtype="float64")
+    return F.when(F.size(words(ref)) > 0, word_edits(words(ref), words(hyp)) / F.size(words(ref)))
 
 
 def cer(ref: Column, hyp: Column) -> Column:
@@ -56,13 +59,15 @@ def ctc(log_probs: np.ndarray, target: list[int], blank: int = 1) -> float:
     return float(loss) if np.isfinite(loss) else 0.0
 
 
-def ctc_losses(df: DataFrame, key: str, frames: str, length: str, target: str) -> DataFrame:
-    """(key, loss): CTC loss of each row's probabilities (frames by classes) for its target ids."""
+def ctc_losses(df: DataFrame, key: str, frames: str, length: str, target: str, carry: list[str] | None = None) -> DataFrame:
+    """(key, loss[, carried columns]): CTC loss of each row's probabilities (frames by classes) for its target ids."""
+    carry, kinds = carry or [], dict(df.dtypes)
 
     def run(batches):
         for b in batches:
             with np.errstate(divide="ignore"):
                 loss = [ctc(np.log(np.array([np.asarray(x, float) for x in f[: int(n)]])), list(t)) for f, n, t in zip(b[frames], b[length], b[target])]
-            yield pd.DataFrame({key: b[key], "loss": loss})
+            yield pd.DataFrame({key: b[key], "loss": loss} | {c: b[c] for c in carry})
 
-    return df.select(key, frames, length, target).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, loss double")
+    schema = ", ".join([f"`{key}` {kinds[key]}", "loss double", *(f"`{c}` {kinds[c]}" for c in carry)])
+    return df.select(key, frames, length, target, *carry).mapInPandas(run, schema)

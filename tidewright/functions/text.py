@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ SCALES = ["", "thousand", "million", "billion", "trillion", "quadrillion", "quin
 TRANSCRIPT = r"(?s)^Text:\s+(.*?)\s*(?:\nConf:\s+(\d+))?\s*$"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz '"
 PAD, BLANK = 0, 1
+VOCABULARY = ["<pad>", "<blank>", *ALPHABET]
 
 
 def cardinal(digits: str) -> str:
@@ -107,7 +111,7 @@ def relpath(video: Column, stem: Column, suffix: str) -> Column:
 
 def encode_chars(text: Column) -> Column:
     """Ids of the vocabulary's characters; others are dropped."""
-    return F.filter(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) + 1), lambda i: i > BLANK)
+    return F.filter(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) + 1), lambda i: i > BLANK)
 
 
 def decode_chars(ids: Column, collapse: bool = False) -> Column:
@@ -121,3 +125,20 @@ def decode_chars(ids: Column, collapse: bool = False) -> Column:
     else:
         kept = F.filter(ids, real)
     return F.array_join(F.transform(kept, lambda x: F.substring(F.lit(ALPHABET), x - 1, F.lit(1))), "")
+
+
+def save_vocabulary(path: str, tokens: list[str]) -> None:
+    Path(path).write_text(json.dumps({"tokens": tokens}, indent=2), encoding="utf-8")
+
+
+def load_vocabulary(path: str) -> list[str]:
+    """The tokens of a vocabulary file, which must begin with pad and blank."""
+    tokens = json.loads(Path(path).read_text(encoding="utf-8"))["tokens"]
+    if tokens[:2] != VOCABULARY[:2]:
+        raise ValueError(f"{path} does not begin with {VOCABULARY[:2]}")
+    return tokens
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..scratch import keep
+
 METRICS = ["loss", "wer", "cer"]
 #: Parts into which a global order is dealt, so that no single task holds it.
 RANK_PARTS = 64
@@ -45,20 +47,22 @@ def audit(index: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, name: str = "rank", by: str | None = None) -> DataFrame:
-    """``df`` with the average rank of ``value`` (ties share their mean).
+    """``df`` with the average rank of ``value`` (ties share their mean); a missing value (null, NaN) has none.
 
     Ranks come from the distinct values: rows before each value, summed over ranges of
-    the value, so no task sorts all rows.
+    the value, so no task sorts all rows. The ranges are a written table: both of its
+    readers see the same ones.
     """
     keys = [by] if by else []
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(RANK_PARTS, value).withColumn("_p", F.spark_partition_id()).persist()
+    there = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = there.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    parts = keep(counts.repartitionByRange(RANK_PARTS, value).withColumn("_p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     totals = parts.groupBy("_p", *keys).agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     placed = parts.withColumn("_u", F.sum("_n").over(inside)).join(F.broadcast(before) if not by else before, ["_p", *keys])
     rank = placed.select(*keys, value, (F.col("_b") + F.col("_u") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(rank, [*keys, value])
+    return df.join(rank, [*keys, value], "left")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row", by: str | None = None) -> DataFrame:
@@ -68,7 +72,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "row", by: str | None
     before it, so no task numbers more than its range.
     """
     keys = [by] if by else []
-    dealt = df.repartitionByRange(RANK_PARTS, *keys, *order).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = keep(df.repartitionByRange(RANK_PARTS, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_p", *keys).agg(F.count("*").alias("_c"))
     start = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_p", *keys, F.coalesce(F.sum("_c").over(start), F.lit(0)).alias("_s"))
@@ -77,14 +81,17 @@ def numbered(df: DataFrame, order: list[str], name: str = "row", by: str | None
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the Mann-Whitney AUC, null if a class is missing."""
-    r = ranked(df, score)
+    """One row: the Mann-Whitney AUC over rows with a score; a single class is an error."""
+    r = ranked(df.filter(F.col(label).isNotNull()), score).filter("rank IS NOT NULL")
     n1, n0 = F.sum(label), F.count("*") - F.sum(label)
-    return r.agg(((F.sum(F.when(F.col(label) == 1, F.col("rank"))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"), F.sqrt((n1 + n0 + 1) / (12 * F.nullif(n1 * n0, F.lit(0)))).alias("null_se"))
+    both = F.when(F.coalesce(n1 * n0, F.lit(0)) > 0, n1 * n0).otherwise(F.raise_error(F.lit("a single class")).cast("double"))
+    return r.agg(((F.sum(F.when(F.col(label) == 1, F.col("rank"))) - n1 * (n1 + 1) / 2) / both).alias("auc"), F.sqrt((n1 + n0 + 1) / (12 * both)).alias("null_se"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return ranked(ranked(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    """One row, rho, over the rows that have both values."""
+    both = df.select(a, b).filter(~F.isnan(F.coalesce(F.col(a).cast("double"), F.lit("NaN").cast("double"))) & ~F.isnan(F.coalesce(F.col(b).cast("double"), F.lit("NaN").cast("double"))))
+    return ranked(ranked(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
 
 
 def kendall(ranks: DataFrame, key: str, a: str, b: str) -> DataFrame:

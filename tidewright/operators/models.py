@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.arrays import distance, dot
+from ..scratch import keep
 
 
 def vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(key, features) from (key, idx, val) rows; an array is as long as its key has features."""
 
-    @F.udf(VectorUDT())
-    def sparse(pairs):
-        return SparseVector(size, [p.idx for p in pairs], [p.val for p in pairs])
+    def run(batches):
+        import pyarrow as pa
 
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("f")).select(key, sparse("f").alias("features"))
+        for b in batches:
+            n, i, v = b.num_rows, b.column(1).cast(pa.list_(pa.int32())), b.column(2)
+            form = pa.StructArray.from_arrays([pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()), i, v], names=["type", "size", "indices", "values"])
+            yield pa.record_batch([b.column(0), form], names=[key, "features"])
+
+    schema = StructType([rows.schema[key], StructField("features", VectorUDT())])
+    sorted_ = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("f"))
+    return sorted_.select(key, F.transform("f", lambda x: x["idx"].cast("int")).alias("i"), F.transform("f", lambda x: x["val"]).alias("v")).mapInArrow(run, schema)
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -34,15 +42,15 @@ ROWS_PER_TASK = 2000
 
 
 def _few_tasks(df: DataFrame) -> DataFrame:
-    """Kept, and in no more partitions than its rows need."""
-    kept = df.persist()
+    """A written table, in no more partitions than its rows need."""
+    kept = keep(df, "rows")
     return kept.coalesce(1 + kept.count() // ROWS_PER_TASK)
 
 
 def importance(pool: DataFrame, target: DataFrame, l2: float, key: str = "utterance_id") -> DataFrame:
     """(key, score_logit, weight) of pool rows: how target-like each is. Columns: key, features."""
-    both = balanced(pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0))))
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, weightCol="weight").fit(_few_tasks(both))
+    both = _few_tasks(balanced(pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0)))))
+    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, elasticNetParam=0.0, weightCol="weight").fit(both)
     logits = model.transform(pool.withColumn("label", F.lit(0.0))).select(key, vector_to_array("rawPrediction")[1].alias("score_logit"))
     top = logits.agg(F.max("score_logit").alias("_m"))
     return logits.join(F.broadcast(top)).select(key, "score_logit", F.exp(F.col("score_logit") - F.col("_m")).alias("weight"))
@@ -54,14 +62,13 @@ def sweep(pool: DataFrame, target: DataFrame, every: int, penalties: list[float]
     from .metrics import auc, numbered
 
     both = pool.withColumn("label", F.lit(0.0)).unionByName(target.withColumn("label", F.lit(1.0)))
-    both = numbered(both, [key], "place", "label").withColumn("held", F.col("place") % every == 0).persist()
+    both = numbered(both, [key], "place", "label").withColumn("held", F.col("place") % every == 0)
     out = []
     for l2 in penalties:
         model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, weightCol="weight").fit(_few_tasks(balanced(both.filter("NOT held"))))
         held = balanced(model.transform(both.filter("held")).select("label", vector_to_array("rawPrediction")[1].alias("z")))
         loss = held.agg(F.sum(F.col("weight") * softplus_loss(F.col("z"), F.col("label"))) / F.sum("weight")).first()[0]
         out.append({"l2": l2, "held_out_auc": auc(held, "z", "label").first().auc, "held_out_logloss": loss})
-    both.unpersist()
     return out
 
 

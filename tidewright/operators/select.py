@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..scratch import keep
 
 KEY = "utterance_id"
 
@@ -43,7 +44,8 @@ def round_robin(assigned: DataFrame, k: int, seed: str) -> DataFrame:
     if "cluster_id" not in assigned.columns:
         raise ValueError("no column cluster_id")
     turn = F.row_number().over(Window.partitionBy("cluster_id").orderBy(numeric.uniform(seed, F.col(KEY)), KEY))
-    return assigned.withColumn("turn", turn).orderBy("turn", "cluster_id").limit(k).select(KEY)
+    # No cluster gives more than k: a task keeps the first k of each as it reads, before anything is shuffled.
+    return assigned.withColumn("turn", turn).filter(F.col("turn") <= k).orderBy("turn", "cluster_id").limit(k).select(KEY)
 
 
 def uniform_sample(pool: DataFrame, k: int, seed: str) -> DataFrame:
@@ -71,12 +73,18 @@ def gumbel_sample(weights: DataFrame, k: int, seed: str, logit: str = "score_log
 def group_split(index: DataFrame, seed: str, target: int) -> DataFrame:
     """(utterance_id, part): whole groups go to "val" in seeded order until it has ``target`` rows, the rest to "train".
 
-    The running total is over groups, one row for each, not over rows.
+    The running total is over groups, summed by ranges of the seeded order.
     """
+    from .metrics import RANK_PARTS
+
     rows = universe(index)
-    groups = rows.groupBy("video_id").agg(F.count("*").alias("n"))
-    order = Window.orderBy(numeric.uniform(seed, F.col("video_id")), "video_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = groups.withColumn("before", F.sum("n").over(order) - F.col("n")).select("video_id", F.when(F.col("before") < target, "val").otherwise("train").alias("part"))
+    groups = rows.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("_u", numeric.uniform(seed, F.col("video_id")))
+    dealt = keep(groups.repartitionByRange(RANK_PARTS, "_u", "video_id").withColumn("_p", F.spark_partition_id()), "groups")
+    start = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("_p").agg(F.sum("n").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(start), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy("_p").orderBy("_u", "video_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_s") + F.sum("n").over(inside) - F.col("n")
+    part = dealt.join(F.broadcast(starts), "_p").select("video_id", F.when(before < target, "val").otherwise("train").alias("part"))
     return rows.select(KEY, "video_id").join(part, "video_id").select(KEY, "part")
 
 
@@ -85,9 +93,10 @@ def first_n(df: DataFrame, n: int, by: str = "split") -> DataFrame:
 
 
 def held_out(df: DataFrame, every: int, by: str) -> DataFrame:
-    """``held`` marks every n-th row of each class by id."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(KEY)) - 1
-    return df.withColumn("held", place % every == 0)
+    """``held`` marks every n-th row of each class by id; a class of any size is numbered by ranges of its ids."""
+    from .metrics import numbered
+
+    return numbered(df, [KEY], "_place", by).withColumn("held", F.col("_place") % every == 0).drop("_place")
 
 
 def band_pick(df: DataFrame, column: str, n: int, seed: str) -> DataFrame:

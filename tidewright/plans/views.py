@@ -17,6 +17,11 @@ def u_sql(seed: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
 
+def code_of(word: Column) -> Column:
+    """A code below 1024 from a word's length and three of its characters."""
+    return ((F.ascii(word) * 131 + F.ascii(F.substring(word, 2, 1)) * 31 + F.ascii(F.substring(word, -1, 1)) * 7 + F.length(word) * 17) % 1024).cast("int")
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -41,14 +46,18 @@ class Views:
     def tokens(self) -> DataFrame:
         """(utterance_id, split, codes): a code for each word."""
         word = F.filter(F.split("text_raw", r"\s+"), lambda w: w != "")
-        code = F.transform(word, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % 1024).cast("int"))
-        return self.utt.select("utterance_id", "split", code.alias("codes"))
+        return self.utt.select("utterance_id", "doc_id", "split", F.transform(word, code_of).alias("codes"))
+
+    @cached_property
+    def streams(self) -> DataFrame:
+        """Rows of eight streams of codes, as a codec gives them, with the text."""
+        shifted = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: F.transform("codes", lambda c: (c + s) % 1024))
+        return self.tokens.select("utterance_id", "doc_id", shifted.alias("tokens")).join(self.utt.select("utterance_id", "text_norm"), "utterance_id")
 
     @cached_property
     def target(self) -> DataFrame:
         word = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-        code = F.transform(word, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % 1024).cast("int"))
-        return self.table("benchmark").select(F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("utterance_id"), code.alias("codes"))
+        return self.table("benchmark").select(F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("utterance_id"), F.transform(word, code_of).alias("codes"))
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -104,7 +113,7 @@ class Views:
         return self.table("pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.get(F.array(F.lit(".txt"), F.lit(".tokens.pt"), F.lit(".wav")), (F.col("page_id") % 3).cast("int"))).alias("relpath"), F.octet_length("html").cast("bigint").alias("bytes"), F.sha2("html", 256).alias("sha256"), "page_id")
 
 
-_CODES = "list_transform(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''), lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 1024)::INTEGER)"
+_CODES = "list_transform(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''), lambda w: ((ascii(w) * 131 + ascii(substr(w, 2, 1)) * 31 + ascii(substr(w, -1, 1)) * 7 + length(w) * 17) % 1024)::INTEGER)"
 _CAL = {c: " + ".join(f"{k!r}::DOUBLE * {c}_raw * {c}_raw" if i == 0 else f"{k!r}::DOUBLE * {c}_raw" if i == 1 else f"{k!r}::DOUBLE" for i, k in enumerate(v)) for c, v in numeric.CALIBRATION.items()}
 #: View -> (views that it needs, SQL).
 SQL: dict[str, tuple[list[str], str]] = {
@@ -112,7 +121,7 @@ SQL: dict[str, tuple[list[str], str]] = {
         trim(regexp_replace(regexp_replace(lower(regexp_replace(text_raw, '[0-9]+', ' ', 'g')), '[^a-z''\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS text_norm
       FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 20 = 19 THEN 'test' ELSE 'trainval' END AS split, CASE WHEN d.doc_id % 20 = 19 THEN '' ELSE source || '_' || (d.doc_id % 10) END AS video_id, d.doc_id::VARCHAR AS stem, (n_chars % 400)::INTEGER AS n_tokens,
         CASE WHEN quality IS NOT NULL THEN (1 + d.doc_id % 6)::INTEGER END AS conf, text AS text_raw FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""),
-    "tokens": (["utt"], f"SELECT utterance_id, split, {_CODES.format('text_raw')} AS codes FROM utt"),
+    "tokens": (["utt"], f"SELECT utterance_id, doc_id, split, {_CODES.format('text_raw')} AS codes FROM utt"),
     "target": ([], f"SELECT 'item/' || item_id AS utterance_id, {_CODES.format('text')} AS codes FROM benchmark"),
     "pool": (["utt"], "SELECT * FROM utt WHERE split = 'trainval' AND selectable"),
     "dnsmos": (["pool"], f"SELECT *, {', '.join(f'{v} AS {c}_mos' for c, v in _CAL.items())} FROM (SELECT utterance_id, " + ", ".join(f"1 + 4 * {u_sql(c, 'utterance_id')} AS {c}_raw" for c in _CAL) + " FROM pool)"),
@@ -129,6 +138,22 @@ SQL: dict[str, tuple[list[str], str]] = {
 }
 
 
+def _numbers() -> str:
+    """SQL for the names of 0 to 999 (0 is empty) as a list."""
+    ones, tens = (f"[{', '.join(repr(w) for w in ws)}]" for ws in (tx.ONES, tx.TENS))
+    rest = f"CASE WHEN k % 100 < 20 THEN CASE WHEN k % 100 > 0 THEN {ones}[k % 100 + 1] ELSE '' END ELSE {tens}[k % 100 // 10 + 1] || CASE WHEN k % 10 > 0 THEN ' ' || {ones}[k % 10 + 1] ELSE '' END END"
+    return f"(SELECT list(CASE WHEN k >= 100 THEN {ones}[k // 100 + 1] || ' hundred' || CASE WHEN k % 100 > 0 THEN ' and ' ELSE '' END ELSE '' END || {rest} ORDER BY k) FROM range(1000) t(k))"
+
+
+def spelt(text: str) -> str:
+    """SQL: a text in which each run of digits is written out as words between spaces (a column ``small`` has the names below 1000)."""
+    powers, scales = "[" + ", ".join(f"{1000 ** g}::HUGEINT" for g in range(12)) + "]", f"[{', '.join(repr(x) for x in tx.SCALES)}]"
+    n = "x::HUGEINT"
+    part = f"CASE WHEN g = 0 AND {n} >= 1000 AND {n} % 1000 < 100 THEN 'and ' ELSE '' END || small[({n} // {powers}[g + 1] % 1000)::BIGINT + 1] || CASE WHEN g > 0 THEN ' ' || {scales}[g + 1] ELSE '' END"
+    words = f"array_to_string(list_transform(list_filter(range(11, -1, -1), lambda g: {n} // {powers}[g + 1] % 1000 > 0), lambda g: {part}), ' ')"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN NOT regexp_matches(x, '^[0-9]') THEN x WHEN {n} = 0 THEN ' zero ' ELSE ' ' || {words} || ' ' END), '')"
+
+
 def with_views(query: str, *names: str) -> str:
     """The query with the views it needs in front."""
     order: list[str] = []
@@ -141,4 +166,7 @@ def with_views(query: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ", ".join(f'"{n}" AS ({SQL[n][1]})' for n in order) + " " + query if order else query
+    if not order:
+        return query
+    own = query.strip()
+    return "WITH " + ", ".join(f'"{n}" AS ({SQL[n][1]})' for n in order) + (", " + own[5:] if own.startswith("WITH ") else " " + query)

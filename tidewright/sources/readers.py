@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +20,11 @@ def load_index(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df.filter(F.col("split") == split) if split else df
 
 
+def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a table in any store that Spark reads; only their chunks are fetched."""
+    return spark.read.parquet(path).select(*columns)
+
+
 def id_list(lines: DataFrame) -> DataFrame:
     """Distinct ids of a text file's lines (column value); blank lines and comments are none."""
     line = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
@@ -51,7 +55,10 @@ def id_text(frames: list[DataFrame], ids: list[str] | None = None, texts: list[s
 def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path, split, video_id, stem, suffix, length[, content]) of the files under ``root``: split/video/stem.suffix, or split/stem.suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.col("path"), "^.*" + os.path.basename(root.rstrip("/")) + "/", "")
+    # The files' paths begin with the root as the file system writes it.
+    home = spark._jvm.org.apache.hadoop.fs.Path(root)
+    start = len(home.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(home).toString()) + 2
+    rel = F.expr(f"substring(path, {start})")
     parts, name = F.split(rel, "/"), F.element_at(F.split(rel, "/"), -1)
     return files.select("path", F.get(parts, F.lit(0)).alias("split"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("").alias("video_id"), F.substring_index(name, ".", 1).alias("stem"), F.expr("substring(element_at(split(path, '/'), -1), length(substring_index(element_at(split(path, '/'), -1), '.', 1)) + 1)").alias("suffix"), "length", *(["content"] if content else []))
 

@@ -32,10 +32,26 @@ def write_manifest(ids: DataFrame, facts: DataFrame, path: str, meta: dict) -> d
     return about
 
 
+def digest(lines: DataFrame, order: list[str], column: str) -> DataFrame:
+    """One row, sha256: of the lines in order, a line break after each, as the file of them has it. Rows are sorted in ranges; the hash, which is sequential, reads them range by range in one task and holds a batch at a time."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        h = hashlib.sha256()
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                h.update(f"{line}\n".encode())
+        yield pa.record_batch([pa.array([h.hexdigest()])], names=["sha256"])
+
+    return lines.orderBy(*order).select(column).coalesce(1).mapInArrow(run, "sha256 string")
+
+
 def list_digest(ids: DataFrame) -> DataFrame:
-    """One row: how many ids, and the SHA-256 of the sorted ids with a line break after each (for lists that fit a manifest)."""
-    joined = F.array_join(F.sort_array(F.collect_list("utterance_id")), "\n")
-    return ids.agg(F.count("*").alias("n"), F.sha2(F.concat(joined, F.lit("\n")), 256).alias("sha256"))
+    """One row: how many ids, and the digest of the sorted ids."""
+    return ids.agg(F.count("*").alias("n")).join(F.broadcast(digest(ids, ["utterance_id"], "utterance_id")))
 
 
 def shown(value: Column, kind: str) -> Column:
@@ -55,6 +71,12 @@ def render(df: DataFrame, markdown: bool = True) -> DataFrame:
     return df.select((F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")) if markdown else F.concat_ws(",", *cells)).alias("line"))
 
 
+def write_matching(texts: DataFrame, ids: DataFrame, path: str, key: str = "utterance_id", text: str = "text") -> None:
+    """The transcripts of the listed ids, as text under one folder for each id; others are not written."""
+    found = texts.join(ids.select(key).distinct(), key, "left_semi")
+    found.select(F.regexp_replace(key, "/", "_").alias("name"), F.concat(F.lit("Text:  "), text).alias("value")).write.partitionBy("name").mode("overwrite").text(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
