@@ -230,10 +230,10 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    got = streaming.run_to_end(streaming.daily(stream), "daily_test", str(tmp_path / "ck"))
+    got = streaming.run_to_end(streaming.daily(stream), str(tmp_path / "daily"), str(tmp_path / "ck"))
     want = streaming.daily(events)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    late = streaming.run_to_end(streaming.daily(stream, "1 day"), "late_test", str(tmp_path / "ck2"), "append")
+    late = streaming.run_to_end(streaming.daily(stream, "1 day"), str(tmp_path / "late"), str(tmp_path / "ck2"), "append")
     assert late.join(want, ["day", "event_type"], "left_anti").count() == 0
     assert streaming.progress(30, 100, 10, 10.0) == {"rate": 2.0, "eta_s": 35.0}
 

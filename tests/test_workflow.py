@@ -177,3 +177,10 @@ def test_scratch_tables_are_told_and_removed(spark, monkeypatch):
 def test_round_robin_needs_no_more_than_k_of_a_cluster(spark):
     df = spark.createDataFrame([(f"u{i:04d}", 0 if i < 900 else i) for i in range(905)], "utterance_id string, cluster_id int")
     assert select.round_robin(df, 7, "1").count() == 7 and len({r[0] for r in select.round_robin(df, 8, "1").collect()} - {f"u{i:04d}" for i in range(900, 905)}) == 3
+
+
+def test_run_manifests(tmp_path):
+    about = writers.write_run_manifest(tmp_path / "runs" / "m.json", {"b": 1, "a": 2}, "random_25pct_seed103.txt", 5, gpu_name="none")
+    assert json.loads((tmp_path / "runs" / "m.json").read_text()) == about and about["subset_seed"] == 103 and about["gpu_name"] == "none"
+    assert about["config_hash"] == readers.config_hash({"a": 2, "b": 1}) and os.listdir(tmp_path / "runs") == ["m.json"]
+    assert writers.write_run_manifest(tmp_path / "n.json", {}, "full.txt", 5)["subset_seed"] is None

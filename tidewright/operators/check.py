@@ -76,6 +76,13 @@ def token_anomalies(rows: DataFrame, codebook: int, least: int) -> DataFrame:
     return rows.select(F.explode(kinds).alias("kind"), KEY)
 
 
+def shape_anomalies(rows: DataFrame, streams: str, n: int) -> DataFrame:
+    """(kind, utterance_id) of rows that have not ``n`` streams of one length."""
+    sizes = F.transform(streams, lambda x: F.size(x))
+    bad = F.coalesce((F.size(streams) != n) | (F.array_min(sizes) != F.array_max(sizes)), F.lit(True))
+    return rows.filter(bad).select(F.concat("split", F.lit("_bad_shape")).alias("kind"), KEY)
+
+
 def anomaly_report(anomalies: DataFrame, examples: int = 50) -> DataFrame:
     """(kind, n, examples): a count and the first ids of each kind. Examples are cut before they are collected."""
     count = anomalies.groupBy("kind").agg(F.count("*").alias("n"))

@@ -57,7 +57,7 @@ def importance(pool: DataFrame, target: DataFrame, l2: float, key: str = "uttera
 
 
 def sweep(pool: DataFrame, target: DataFrame, every: int, penalties: list[float], key: str = "utterance_id") -> list[dict]:
-    """For each penalty: fit without every n-th row of each class, AUC and log loss on those. Features are made once."""
+    """For each penalty: fit without every n-th row of each class, AUC and log loss on those; and the spread (deviation over mean) of the pool's weights by a fit on all rows. Features are made once."""
     from ..functions.numeric import softplus_loss
     from .metrics import auc, numbered
 
@@ -68,7 +68,9 @@ def sweep(pool: DataFrame, target: DataFrame, every: int, penalties: list[float]
         model = LogisticRegression(fitIntercept=False, standardization=False, regParam=l2, weightCol="weight").fit(_few_tasks(balanced(both.filter("NOT held"))))
         held = balanced(model.transform(both.filter("held")).select("label", vector_to_array("rawPrediction")[1].alias("z")))
         loss = held.agg(F.sum(F.col("weight") * softplus_loss(F.col("z"), F.col("label"))) / F.sum("weight")).first()[0]
-        out.append({"l2": l2, "held_out_auc": auc(held, "z", "label").first().auc, "held_out_logloss": loss})
+        weights = importance(pool, target, l2, key)
+        spread = weights.agg(F.stddev_pop("weight") / F.avg("weight")).first()[0]
+        out.append({"l2": l2, "held_out_auc": auc(held, "z", "label").first().auc, "held_out_logloss": loss, "weight_spread": spread})
     return out
 
 

@@ -35,6 +35,9 @@ def _augment_sql() -> str:
 
 q("spec_augment", lambda v: v.frames.select("vec_id", F.array_join(F.transform(F.flatten(arrays.spec_augment(C("frames"), C("vec_id"), "aug", 8, band_width=3, span_share=0.3)), lambda x: F.round(x * 1000).cast("bigint")).cast("array<string>"), ",").alias("masked")), _augment_sql(), "frames")
 
+q("shape_anomalies", lambda v: check.anomaly_report(check.shape_anomalies(v.streams.join(v.utt.select("utterance_id", "split"), "utterance_id").withColumn("tokens", F.when(C("doc_id") % 9 == 0, F.slice("tokens", 1, 7)).when(C("doc_id") % 9 == 1, F.array_append("tokens", F.array(F.lit(1)))).when(C("doc_id") % 9 == 2, F.concat(F.slice("tokens", 1, 7), F.array(F.array(F.lit(-1))))).otherwise(C("tokens"))), "tokens", 8)).select("kind", "n", F.size("examples").alias("examples")),
+  "SELECT split || '_bad_shape' AS kind, count(*) AS n, least(count(*), 50)::INTEGER AS examples FROM tokens WHERE doc_id % 9 < 2 OR (doc_id % 9 = 2 AND len(codes) <> 1) GROUP BY 1", "tokens")
+
 # --- audits, splits, subsets -----------------------------------------------------------
 q("audit_report", lambda v: v.utt.agg(F.count("*").alias("n"), F.count_if(C("split") == "test").alias("test"), F.count_if("selectable").alias("selectable"), F.count_if(C("conf").isNull()).alias("no_conf")).select(F.to_json(F.struct("n", "test", F.struct("selectable", "no_conf").alias("rows"))).alias("report")),
   """SELECT '{"n":' || count(*) || ',"test":' || count(*) FILTER (split = 'test') || ',"rows":{"selectable":' || count(*) FILTER (selectable) || ',"no_conf":' || count(*) FILTER (conf IS NULL) || '}}' AS report FROM utt""", "utt")

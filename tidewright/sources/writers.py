@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -81,5 +83,16 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_config_manifest(path: str | Path, **facts) -> None:
-    Path(path).write_text(json.dumps(facts, sort_keys=True, indent=1), encoding="utf-8")
+def write_run_manifest(path: str | Path, config: dict, subset: str, train_seed: int, subset_seed: int | None = None, status: str = "running", **facts) -> dict:
+    """What a run is made of, as JSON that appears whole or not at all: configuration and its hash, subset, seeds. The subset's seed is read from its name where none is given."""
+    from .readers import config_hash
+
+    if subset_seed is None and (found := re.search(r"seed(\d+)", subset)):
+        subset_seed = int(found[1])
+    about = {"config_hash": config_hash(config), "subset_manifest": subset, "subset_seed": subset_seed, "train_seed": train_seed, "status": status} | facts
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    fresh = path.with_name(path.name + ".tmp")
+    fresh.write_text(json.dumps(about, sort_keys=True, indent=2), encoding="utf-8")
+    os.replace(fresh, path)
+    return about

@@ -19,11 +19,17 @@ def daily(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return each.select(F.col("w.start").cast("date").alias("day"), "event_type", "n", "total")
 
 
-def run_to_end(frame: DataFrame, sink: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process everything that is there, then stop; the result is the memory table ``sink``."""
-    q = frame.writeStream.outputMode(mode).format("memory").queryName(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(frame: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process everything that is there, then stop; the result is a table at ``path``, written by the executors.
+
+    A batch that is run again after a failure writes the same folder again.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    q = frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return frame.sparkSession.table(sink)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str = "utterance_id") -> DataFrame:
