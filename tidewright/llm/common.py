@@ -1,47 +1,22 @@
-"""What the corpus operators share: scratch tables, byte packing, column guards.
-
-Scratch tables go to the shared folder named by ``spark.checkpoint.dir``. Only where
-that is unset (tests, local mode) a temporary folder of this machine is used.
-"""
+"""What the corpus operators share: byte packing, column guards, workers' memory."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, keep, scratch_root, tables_made  # noqa: F401
 from ..session import ship
 
 #: Bytes of text that one chunk of documents aims at.
 CHUNK_BYTES = 8 << 20
 
-_local: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for tables that outlive a job."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="tidewright-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later jobs depend on files, not on lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -100,7 +75,40 @@ def slices(sizes: np.ndarray, limit: int):
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the machine: workers live on from task to task, and two share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow by workers that can import this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def all_batches(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(all_batches, schema)
+
+
+def grouped(run: Callable) -> Callable:
+    """A function of (key, table) or (key, table, table) for applyInArrow that gives its memory back."""
+    if run.__code__.co_argcount == 2:
+
+        def one(key, table):
+            out = run(key, table)
+            give_back()
+            return out
+
+        return one
+
+    def two(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return two

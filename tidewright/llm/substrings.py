@@ -15,7 +15,9 @@ symbols wherever the window occurs. A landmark is a sequence of whole symbols of
 more words, so at most 15: each window holds one, found in every copy of it. Landmarks
 that two documents share reveal where to look, and windows are compared there (see repeats.py).
 
-Edge cases: a null text has no words; see ``remove_repeats`` for null and repeated ids.
+Edge cases: a null text has no words; words and texts of any length are compared whole;
+an empty table gives an empty result; further columns are ignored under any name, or
+handed through where ``carry`` names them; see ``remove_repeats`` for null and repeated ids.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import mix64
@@ -36,7 +39,10 @@ LANDMARK_WORDS = 8
 LOST = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Of eight bytes the first n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes up to which words are named eight bytes at a time, all at once.
+_LONG = 64
 
 
 def _bounds(raw: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +57,31 @@ def _bounds(raw: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def word_names(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each word raw[a:b]: one-to-one up to seven bytes, beyond that a chain of bijections of eight bytes each (xxh3 for long words)."""
+    padded = np.r_[raw, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = b - a
+    name = mix64((eight[a] & _FIRST[np.minimum(size, 7)]) | (np.minimum(size, 8).astype(np.uint64) << np.uint64(56)))
+    at, done = np.flatnonzero(size > 7), 7
+    while len(at) and done < _LONG:
+        more = np.minimum(size[at] - done, 8)
+        name[at] = mix64(name[at] * np.uint64(0x9FB21C651E98DF25) + (eight[a[at] + done] & _FIRST[more]))
+        name[at] ^= size[at].astype(np.uint64) << np.uint64(40)
+        done += 8
+        at = at[size[at] > done]
+    for i in at.tolist():
+        name[i] = xxhash.xxh3_64_intdigest(raw[a[i] : b[i]].tobytes())
+    return name
+
+
 def words(texts: list[bytes]) -> Tokens:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     text_starts = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64)
     if not len(raw):
         return Tokens(np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
     a, b = _bounds(raw, text_starts)
-    return Tokens(Spans(_BYTE[raw])(a, b) ^ mix64((b - a).astype(np.uint64)), np.searchsorted(a, text_starts))
+    return Tokens(word_names(raw, a, b), np.searchsorted(a, text_starts))
 
 
 def rounds(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,8 @@ at an offset. A position leaves as soon as it is unique, or decided.
         exchanged for a sample of positions that content alone chooses: a 50-byte string
         is represented by the least rank among its first 25 positions. Does another
         document have that rank? If not, the string is unique.
-    runs   neighbouring strings with one representative, at most 25 of them, as one rank
-        of all their bytes. Exchanged: does a smaller document have the same run? Then all
+    runs   neighbouring strings with one representative, at most 25 of them, named by all
+        their bytes (two polynomials modulo a prime at random points, see repeats.py). Exchanged: does a smaller document have the same run? Then all
         its strings are repeated. Is it the only run with its representative? Then nothing
         is left to compare.
     50 bytes
@@ -22,7 +22,8 @@ text in each round; here rounds two to four exchange a part of the text's size.
 
 Edge cases: a null text is empty; matches never cross documents; null ids count as larger
 than all others; rows with one id count as one document; texts of any length are compared
-whole; an empty table gives an empty result.
+whole; an empty table gives an empty result; further columns are ignored under any name,
+or handed through where ``carry`` names them.
 """
 
 from __future__ import annotations
@@ -33,18 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, pack, pack_sorted, unpack, unpack_sorted
-from .repeats import _ANSWER, _ASK, ANSWER, ASK, WINDOW, Spans, Tokens, _blocks, _distinct, _steps, _table, answer_windows, dealt, is_in, result_schema, stripped
+from .common import grouped, mix64, pack, pack_sorted, unpack, unpack_sorted
+from .repeats import _ANSWER, _ASK, ANSWER, ASK, WINDOW, Tokens, _distinct, _steps, _table, answer_windows, by_part, covered, dealt, is_in, joined, named, names, parted, question, random_points, result_schema, stripped
 
 #: Bytes of the first exchanged rank.
 PREFIX = 26
 _SAMPLE = WINDOW - PREFIX + 1
+_BLOCK = 1 << 18
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def positions(texts: list[bytes]) -> Tokens:
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    return Tokens(_BYTE[raw], np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64))
+    return Tokens(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64))
 
 
 def ranks(values: np.ndarray, length: int) -> np.ndarray:
@@ -73,13 +74,11 @@ def runs(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(tokens.values)
     if n < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    rank = ranks(tokens.values, PREFIX)
-    least = _sliding(rank, _SAMPLE, np.minimum)
+    # Block by block, so that long texts need no more than their bytes and one rank for each.
+    blocks = (tokens.values[a : a + _BLOCK + WINDOW - 1] for a in range(0, n - WINDOW + 1, _BLOCK))
+    least = np.concatenate([_sliding(ranks(_BYTE[x], PREFIX), _SAMPLE, np.minimum) for x in blocks])
     room = np.diff(tokens.starts)
-    whole = np.zeros(n + 2, np.int64)  # windows inside one text
-    np.add.at(whole, tokens.starts[:-1][room >= WINDOW], 1)
-    np.add.at(whole, tokens.starts[1:][room >= WINDOW] - WINDOW + 1, -1)
-    inside = np.cumsum(whole)[: len(least)] > 0
+    inside = covered(n, tokens.starts[:-1][room >= WINDOW], tokens.starts[1:][room >= WINDOW] - WINDOW + 1)[: len(least)]
     new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
     new[tokens.starts[:-1][tokens.starts[:-1] < len(new)]] = True
     new = np.flatnonzero(new)
@@ -107,16 +106,6 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _named(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, place): an ascending order of pairs, where in it each distinct pair begins, and which distinct pair each one is."""
-    order = np.lexsort((body, head))
-    h, b = head[order], body[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])] if len(h) else np.empty(0, bool)
-    place = np.empty(len(h), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), place
-
-
 def _said(answers: pa.Table) -> dict[int, bytes]:
     return dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))
 
@@ -129,8 +118,8 @@ def _bits(data: bytes, n: int, fields: int = 1) -> list[np.ndarray]:
 class Chunk:
     """The texts of one chunk with their runs, and what the corpus has said about them."""
 
-    def __init__(self, table: pa.Table, parts: int, bits: int):
-        self.parts, self.drop = parts, np.uint64(64 - bits)
+    def __init__(self, table: pa.Table, parts: int, bits: int, points: tuple[int, int]):
+        self.parts, self.drop, self.points = parts, np.uint64(64 - bits), points
         self.steps = []
         for piece, ids, texts in _steps(table):
             tokens = positions(texts)
@@ -154,48 +143,46 @@ class Chunk:
         return np.concatenate([np.empty(0, np.uint64), *[keys[s][_bits(said[p], s.stop - s.start)[0]] for p, s in self.split(keys, False)]])
 
     def narrow(self, shared: np.ndarray) -> None:
-        """Keep the runs whose representative is shared, with the key of the whole run: 32 bits of the representative and, apart from them, 64 of all bytes."""
+        """Keep the runs whose representative is shared, with 32 bits of the representative and both names of the whole run."""
         steps = []
         for piece, texts, start, size, key, own in self.steps:
             at = np.flatnonzero(is_in(shared, key >> self.drop))
             start, size, key, own = start[at], size[at], key[at], own[at]
-            body = np.empty(0, np.uint64)
-            if len(at):
-                body = mix64(Spans(positions(texts).values)(start, start + size + WINDOW - 1) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            steps.append((piece, texts, start, size, key >> np.uint64(32), own, body))
+            steps.append((piece, texts, start, size, key >> np.uint64(32), own, *names(positions(texts).values, start, start + size + WINDOW - 1, self.points, small=True)))
         self.steps = steps
 
-    def whole_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each distinct run, ascending, both parts of its key and the smallest document; and which of them each run is."""
-        head, own, body = self._all(4, np.uint64), self._all(5, np.int64), self._all(6, np.uint64)
-        order, first, place = _named(head, body)
+    def whole_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct run, ascending, its representative, both names and the smallest document; and which of them each run is."""
+        head, own, one, two = self._all(4, np.uint64), self._all(5, np.int64), self._all(6, np.uint64), self._all(7, np.uint64)
+        order, first, place = named(head, one, two)
         low = np.minimum.reduceat(own[order], first) if len(first) else own
-        return head[order][first], body[order][first], low, place
+        at = order[first]
+        return head[at], one[at], two[at], low, place
 
     def decide(self, said: dict[int, bytes]) -> None:
         """Replace each step's keys by the verdict: 1 a smaller document has the run, 2 its windows are still to be compared, 0 nothing has."""
-        head, _, low, place = self.whole_runs()
+        head, _, _, low, place = self.whole_runs()
         smaller, others = np.zeros(len(head), bool), np.zeros(len(head), bool)
         for p, s in self.split(head << np.uint64(32), True):
             smaller[s], others[s] = _bits(said[p], s.stop - s.start, 2)
         steps, done = [], 0
-        for piece, texts, start, size, key, own, _ in self.steps:
+        for piece, texts, start, size, key, own, *_ in self.steps:
             at, done = place[done : done + len(key)], done + len(key)
             verdict = np.where(smaller[at] | (low[at] < own), 1, np.where(others[at], 2, 0)) if len(key) else np.empty(0, np.int64)
             steps.append((piece, texts, start, size, verdict, own))
         self.steps = steps
 
-    def windows(self):
-        """Of each step (starts, documents, key, part) of the windows still to be compared."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Both names and the document of each window still to be compared, and the starts of each step's."""
+        found, starts = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))], []
         for _, texts, start, size, verdict, own in self.steps:
             at = np.flatnonzero(verdict == 2)
             total = np.cumsum(size[at])
             s = np.repeat(start[at] - (total - size[at]), size[at]) + np.arange(total[-1] if len(at) else 0)
-            if not len(s):
-                yield s.astype(np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-                continue
-            values = positions(texts).values
-            yield s, np.repeat(own[at], size[at]), Spans(values)(s, s + WINDOW), (Spans(values, 1)(s, s + WINDOW) % np.uint64(self.parts)).astype(np.int64)
+            s = s.astype(np.int64)
+            found.append((*names(positions(texts).values, s, s + WINDOW, self.points, small=True), np.repeat(own[at], size[at])))
+            starts.append(s)
+        return *map(np.concatenate, zip(*found, strict=True)), starts
 
 
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, digest: bool = False, as_text: bool = False) -> DataFrame:
@@ -203,11 +190,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     carry = carry or []
     texts, parts, total = dealt(docs, id_col, text_col, carry)
     bits = min(64, max(40, int(total).bit_length() + 10))  # enough for few false meetings, which cost a comparison each
+    points = random_points()
     left_of, left_type = (left_text, pa.string()) if as_text else (left, pa.binary())
     sha = (lambda b: hashlib.sha256(b.encode() if as_text else b).hexdigest()) if digest else None
 
     def ask_ranks(key, table):
-        chunk = Chunk(table, parts, bits)
+        chunk = Chunk(table, parts, bits, points)
         keys, low, high = chunk.representatives()
         return _table([(key[0].as_py(), p, pack_sorted(keys[s]), np.packbits(high[s] > low[s]).tobytes()) for p, s in chunk.split(keys, False)], _ASK)
 
@@ -219,12 +207,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         return _table([(c, key[0].as_py(), np.packbits(b).tobytes()) for c, b in zip(table.column("chunk").to_pylist(), np.split(shared, np.cumsum(list(map(len, asked)))[:-1]), strict=True)], _ANSWER)
 
     def ask_runs(key, table, answers):
-        chunk = Chunk(table, parts, bits)
+        chunk = Chunk(table, parts, bits, points)
         shared = chunk.shared(_said(answers))
         chunk.narrow(shared)
-        head, body, low, _ = chunk.whole_runs()
+        head, one, two, low, _ = chunk.whole_runs()
         me = key[0].as_py()
-        rows = [(me, p, pack_sorted(head[s]), len(x := pack(low[s])).to_bytes(8, "little") + x + pack(body[s])) for p, s in chunk.split(head << np.uint64(32), True)]
+        rows = [(me, p, pack_sorted(head[s]), joined(pack(low[s]), pack(one[s]), pack(two[s]))) for p, s in chunk.split(head << np.uint64(32), True)]
         return _table([*rows, (me, -1 - me, b"", pack_sorted(shared))], _ASK)
 
     def answer_runs(key, table):
@@ -232,9 +220,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         if part < 0:
             return answer_windows(key, table)
         asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        extra = [(x[8:n], x[n:]) for x in table.column("extra").to_pylist() for n in [8 + int.from_bytes(x[:8], "little")]]
-        head, ids, body = np.concatenate(asked), np.concatenate([unpack(x, np.int64) for x, _ in extra]), np.concatenate([unpack(x, np.uint64) for _, x in extra])
-        order, first, place = _named(head, body)
+        low, one, two = zip(*map(parted, table.column("extra").to_pylist()), strict=True)
+        head, ids, one, two = np.concatenate(asked), np.concatenate([unpack(x, np.int64) for x in low]), *(np.concatenate([unpack(x, np.uint64) for x in c]) for c in (one, two))
+        order, first, place = named(head, one, two)
         least = np.minimum.reduceat(ids[order], first)[place]
         _, which, times = np.unique(head[order][first], return_inverse=True, return_counts=True)
         others = (times[which] > 1)[place]
@@ -243,7 +231,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     def decided(table, answers):
         said = _said(answers)
-        chunk = Chunk(table, parts, bits)
+        chunk = Chunk(table, parts, bits, points)
         chunk.narrow(unpack_sorted(said[-1]))
         return chunk, said
 
@@ -251,45 +239,33 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         chunk, said = decided(table, answers)
         verdicts = b"".join(said[p] for p, _ in chunk.split(chunk.whole_runs()[0] << np.uint64(32), True))
         chunk.decide(said)
-        found = list(chunk.windows())
         me = key[0].as_py()
-        ids, keys, part = (np.concatenate([np.empty(0, k), *[f[i] for f in found]]) for i, k in ((1, np.int64), (2, np.uint64), (3, np.int64)))
-        rows, _ = _blocks(me, keys, part, ids, lambda low, _: pack(low))
-        return _table([*rows, (me, -1 - me, b"", len(said[-1]).to_bytes(8, "little") + said[-1] + verdicts)], _ASK)
+        rows = question(me, *chunk.windows()[:3], parts).rows
+        return _table([*rows, (me, -1 - me, b"", joined(said[-1], verdicts))], _ASK)
 
     def remove(key, table, answers):
         said = _said(answers)
-        memo = said.pop(-1)
-        n = 8 + int.from_bytes(memo[:8], "little")
-        chunk = Chunk(table, parts, bits)
-        chunk.narrow(unpack_sorted(memo[8:n]))
-        verdicts = {}
+        shared, memo = parted(said.pop(-1))
+        chunk = Chunk(table, parts, bits, points)
+        chunk.narrow(unpack_sorted(shared))
+        verdicts, n = {}, 0
         for p, s in chunk.split(chunk.whole_runs()[0] << np.uint64(32), True):
             size = 2 * -(-(s.stop - s.start) // 8)
             verdicts[p], n = memo[n : n + size], n + size
         chunk.decide(verdicts)
-        found = list(chunk.windows())
-        ids, keys, part = (np.concatenate([np.empty(0, k), *[f[i] for f in found]]) for i, k in ((1, np.int64), (2, np.uint64), (3, np.int64)))
-        known = {p: (k, low, _bits(said[p], len(k))[0]) for p, k, low in _blocks(key[0].as_py(), keys, part, ids, lambda *_: b"")[1]}
-        out = []
-        for (piece, texts, start, size, verdict, _), (s, own, keys, part) in zip(chunk.steps, found, strict=True):
-            gone = np.zeros(len(s), bool)
-            order = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True]) if len(s) else np.zeros(1, int)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                here = order[a:b]
-                k, low, elsewhere = known[int(part[here[0]])]
-                at = np.searchsorted(k, keys[here])
-                gone[here] = elsewhere[at] | (low[at] < own[here])
+        one, two, own, starts = chunk.windows()
+        gone, out, done = question(key[0].as_py(), one, two, own, parts).verdicts(said, own), [], 0
+        for (piece, texts, start, size, verdict, _), s in zip(chunk.steps, starts, strict=True):
+            s, done = s[gone[done : done + len(s)]], done + len(s)
             full = np.flatnonzero(verdict == 1)
-            starts, ends = np.concatenate([s[gone], start[full]]), np.concatenate([s[gone] + WINDOW, start[full] + size[full] - 1 + WINDOW])
-            out.append(stripped(piece, texts, positions(texts), starts, ends, left_of, left_type, sha, bool(carry)))
+            ends = np.concatenate([s + WINDOW, start[full] + size[full] - 1 + WINDOW])
+            out.append(stripped(piece, texts, positions(texts), np.concatenate([s, start[full]]), ends, left_of, left_type, sha, bool(carry)))
         return pa.concat_tables(out)
 
     def each(answers):
         return texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
-    one = texts.groupBy("chunk").applyInArrow(ask_ranks, ASK).groupBy("part").applyInArrow(answer_ranks, ANSWER)
-    two = each(one).applyInArrow(ask_runs, ASK).groupBy("part").applyInArrow(answer_runs, ANSWER)
-    three = each(two).applyInArrow(ask_windows, ASK).groupBy("part").applyInArrow(answer_windows, ANSWER)
-    return each(three).applyInArrow(remove, result_schema(docs, "string" if digest or as_text else "binary", carry)).withColumnRenamed("id", id_col)
+    one = by_part(texts.groupBy("chunk").applyInArrow(grouped(ask_ranks), ASK), parts).applyInArrow(grouped(answer_ranks), ANSWER)
+    two = by_part(each(one).applyInArrow(grouped(ask_runs), ASK), parts).applyInArrow(grouped(answer_runs), ANSWER)
+    three = by_part(each(two).applyInArrow(grouped(ask_windows), ASK), parts).applyInArrow(grouped(answer_windows), ANSWER)
+    return each(three).applyInArrow(grouped(remove), result_schema(docs, "string" if digest or as_text else "binary", carry)).withColumnRenamed("id", id_col)
