@@ -105,6 +105,43 @@ def test_an_outlier_of_its_group_goes_and_clean_ones_stay(spark):
     assert kept == set(range(40))
 
 
+def plain(i, n=80):
+    return [f"w{i:02d}x{k:02d}" for k in range(n)]
+
+
+def test_each_rate_has_a_fence_that_decides(spark):
+    """In a group of clean documents an outlier by any one rate goes, though the base rules let it pass."""
+    def lines(ws):
+        return "\n".join(" ".join(ws[k : k + 8]) for k in range(0, len(ws), 8))
+
+    base = [(i, lines(plain(i))) for i in range(60)]
+    odd = {
+        "symbol_rate": lines([w + "#" * (k % 5 == 0) for k, w in enumerate(plain(70))]),
+        "dup_line_rate": lines(plain(71)) + "\n" + "\n".join([" ".join(plain(71)[:8])] * 8),
+        "repeat_rate": " ".join(plain(72) + plain(72)[:20]),
+        "word_length": lines([w * 2 for w in plain(73)]),
+        "short words": lines([w[4:] for w in plain(74)]),
+    }
+    rows = base + [(100 + i, t) for i, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(d, t, "en", "s") for d, t in rows], "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[d].kept for d, _ in base)
+    for i, name in enumerate(odd):
+        r = got[100 + i]
+        assert not r.base_failed and not r.kept, name
+        over = {"symbol_rate": 1000 * r.n_symbols // r.n_words > r.max_symbol_rate, "dup_line_rate": 1000 * r.n_dup_lines // r.n_lines > r.max_dup_line_rate, "repeat_rate": 1000 * r.n_repeat_words // r.n_words > r.max_repeat_rate, "word_length": 1000 * r.word_chars // r.n_words > r.max_word_length, "short words": 1000 * r.word_chars // r.n_words < r.min_word_length}
+        assert over[name], name
+        if name not in ("dup_line_rate",):  # repeated lines are repeated words too
+            assert [k for k, v in over.items() if v] == [name]
+
+
+def test_the_same_document_in_two_groups(spark):
+    """What is an outlier among prose is not one where all documents are like that."""
+    code = [" ".join(f"{w}{{{k}}}&" if k % 2 else w + "$" for k, w in enumerate(plain(i))) for i in range(40)]
+    rows = [(i, " ".join(plain(i)), "prose") for i in range(40)] + [(100 + i, t, "code") for i, t in enumerate(code)] + [(200, code[0], "prose")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([(d, t, "en", s) for d, t, s in rows], "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[100] and not got[200] and sum(got.values()) == 80
+
+
 def test_many_groups_take_the_salted_way(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = {(r.doc_id, r.kept) for r in quality.judge(frame(spark, rows)).collect()}

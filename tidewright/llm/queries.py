@@ -89,25 +89,26 @@ FROM n
 
 _WS = r"[\x20\x09-\x0D]+"
 _RATES = {k: v.replace(" div ", " // ") for k, v in quality.RATES.items()}
+_FENCES = [(r, f, f"{f.times} * greatest({r}_{f.high} - {r}_{f.low}, {f.least_spread})") for r, f in quality.FENCES.items()]
+_WITHIN = [f"{_RATES[r]} <= max_{r}" for r, _, _ in _FENCES] + [f"{_RATES[r]} >= min_{r}" for r, f, _ in _FENCES if f.below]
 #: From documents (doc_id, lang, source, text) to the counts, thresholds and verdicts.
 QUALITY_CTES = rf"""
 w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS ws FROM documents),
 tri AS (SELECT doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS p FROM rep, range(3) r(j)) GROUP BY doc_id),
-lin AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lin.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lin.lines, 0)::BIGINT AS n_lines, coalesce(lin.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN lin ON w.doc_id = lin.doc_id),
-r AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS x FROM c WHERE n_words > 0" for k, v in _RATES.items())}),
+r AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS x FROM c WHERE NOT {quality.BASE_FAILED}" for k, v in _RATES.items())}),
 cell AS (SELECT lang, source, rate, (x >> k) << k AS cell FROM (SELECT *, greatest(length(bin(x)) - 7, 0) AS k FROM r)),
 s AS (SELECT lang, source, rate, cell, sum(count(*)) OVER (PARTITION BY lang, source, rate ORDER BY cell) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, rate) AS total FROM cell GROUP BY lang, source, rate, cell),
-q AS (SELECT lang, source, rate, min(cell) FILTER (upto * 4 >= total) AS q1, min(cell) FILTER (upto * 4 >= total * 3) AS q3 FROM s GROUP BY lang, source, rate),
-f AS (SELECT lang, source, {", ".join(f"greatest({g}, max(q3 + {quality.FENCE} * (q3 - q1)) FILTER (rate = '{k}')) AS max_{k}" for k, g in quality.GUARDS.items())} FROM q GROUP BY lang, source),
-verdict AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-        NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND {" AND ".join(f"coalesce({v} <= max_{k}, false)" for k, v in _RATES.items())} AS kept
+q AS (SELECT lang, source, {", ".join(f"min(cell) FILTER (rate = '{r}' AND upto * 100 >= total * {k}) AS {r}_{k}" for r, f, _ in _FENCES for k in (f.low, f.high))} FROM s GROUP BY lang, source),
+f AS (SELECT lang, source, {", ".join([f"{r}_{f.high} + {x} AS max_{r}" for r, f, x in _FENCES] + [f"{r}_{f.low} - {x} AS min_{r}" for r, f, x in _FENCES if f.below])} FROM q),
+verdict AS (SELECT c.*, {quality.BASE_FAILED} AS base_failed, NOT {quality.BASE_FAILED} AND coalesce({" AND ".join(_WITHIN)}, false) AS kept
       FROM c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source)
-""".replace("// n_words", "// nullif(n_words, 0)")
+"""
 OP7_SQL = f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict"
 
 _RECORD = """'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>' || e
@@ -125,6 +126,17 @@ j AS (SELECT a.file, a.page_id AS record_id, a."offset", a.length, a.sha AS expe
 SELECT * FROM j WHERE status IS NOT NULL
 """
 
+#: CRC-32 from its definition: a table of 256 entries by eight steps of the polynomial, then a fold over the bytes.
+OP3_SQL = f"""
+WITH RECURSIVE step(b, k, v) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)))::BIGINT AS text_crc32 FROM d, crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - size AS start, sum(size) OVER () AS total FROM n),
+c AS (SELECT *, least({SHARDS - 1}, ((2 * start + size) * {SHARDS}) // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard FROM c
+"""
+
 OP4_SQL = rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS ws, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
 t AS (SELECT doc_id, good, unnest(ws) AS w, unnest(list_prepend(NULL, ws[:-2])) AS h FROM w WHERE len(ws) > 0),
@@ -158,4 +170,4 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bm25_packing, op3_prefix_shards, op4_cross_entropy, op5_bpe, op6_merkle_audit, op7_adaptive_quality, op8_simhash_vptree, op9_recompression, op10_prefix_doubling)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op4_cross_entropy": OP4_SQL, "op9_recompression": OP9_SQL, "op10_prefix_doubling": OP10_SQL, "op6_merkle_audit": OP6_SQL, "op7_adaptive_quality": OP7_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_prefix_shards": OP3_SQL, "op4_cross_entropy": OP4_SQL, "op9_recompression": OP9_SQL, "op10_prefix_doubling": OP10_SQL, "op6_merkle_audit": OP6_SQL, "op7_adaptive_quality": OP7_SQL}
