@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep as keep_table
@@ -89,10 +89,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_id = F.col("id").asc_nulls_first() if stays == "max" else F.col("id").desc_nulls_first()
     dealt = norm.repartitionByRange(partitions(spark), "lead", "sha", by_id).sortWithinPartitions("lead", "sha", "norm", by_id)
     runs = keep_table(mapped(dealt.select("id", "norm", "sha"), _runs, "id bigint, part int, run bigint, place bigint, size bigint, last_id bigint, sha binary, edge boolean, edge_text binary"), "runs")
-    # At most two runs of each partition, so this side is small by construction.
-    edges = runs.filter(F.col("edge_text").isNotNull()).select("part", "run", "size", "last_id", "edge_text")
-    group = Window.partitionBy("edge_text")
-    settled = edges.select("part", "run", F.sum("size").over(group).alias("all_size"), F.max(F.struct("part", "run", "last_id")).over(group).alias("end"))
+    # At most two runs of each partition, so this side is small by construction. Of one group at most two texts are
+    # held at a time: the least and the greatest, which are equal if all are.
+    edges = runs.filter(F.col("edge_text").isNotNull())
+    groups = edges.groupBy("sha").agg(F.sum("size").alias("all_size"), F.max(F.struct("part", "run", "last_id")).alias("end"), F.min("edge_text").alias("lo"), F.max("edge_text").alias("hi"))
+    groups = groups.select("sha", F.when(F.col("lo") == F.col("hi"), F.col("all_size")).otherwise(F.raise_error(F.lit("unequal texts with one SHA-256")).cast("bigint")).alias("all_size"), "end")
+    settled = edges.select("part", "run", "sha").join(groups, "sha").drop("sha")
     out = runs.drop("edge_text").join(F.broadcast(settled), ["part", "run"], "left")
     final = F.coalesce((F.col("end.part") == F.col("part")) & (F.col("end.run") == F.col("run")), F.lit(True))
     return out.select(
