@@ -41,3 +41,12 @@ def test_only_differing_branches_are_read(spark):
     b = warc.manifest(warc.records(frame(spark, [(i, u, "c" if i == 450 else h) for i, u, h in rows]), file_records=100))
     for x, y in zip(warc.merkle_levels(a, 1), warc.merkle_levels(b, 1)):
         assert warc._differing(x, y).count() == 1
+
+
+def test_records_without_an_id_are_dealt_by_url(spark):
+    rows = [(None, f"u{i}", f"body {i}") for i in range(400)] + [(i, f"v{i}", "x") for i in range(40)]
+    a = warc.records(frame(spark, rows), file_records=16)
+    assert a.filter("file < 0").select("file").distinct().count() > 300
+    b = warc.records(frame(spark, [(d, u, h.upper() if u in ("u7", "v3") else h) for d, u, h in rows if u != "u9"]), file_records=16)
+    got = sorted((r.record_id is None, r.status) for r in warc.audit(a, b).collect())
+    assert got == [(False, "altered"), (True, "altered"), (True, "missing")]

@@ -6,9 +6,10 @@ file's root; sixteen files make a node above, up to the replica's root. An audit
 roots and joins, level by level, only the children of nodes that differ, down to the
 records of differing leaves. A lost record shifts its own file alone.
 
-Edge cases: null urls and bodies count as empty; records with a null id are ordered
-first; equal records are told apart by their place; an empty replica has no nodes, and
-everything in the other is reported as missing or extra; further columns are ignored.
+Edge cases: null urls and bodies count as empty; records with a null id are dealt by
+their url to files of negative numbers; equal records are told apart by their place;
+bodies of any length are hashed whole; an empty replica has no nodes, and everything in
+the other is reported as missing or extra; further columns are ignored under any name.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import keep, mapped
 FANOUT = 16
 #: Records of a file, by id range.
 FILE_RECORDS = 512
+#: Files over which records without an id are dealt.
+NULL_FILES = 4096
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -37,9 +40,9 @@ def resource_record(url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
-    """(file, record_id, record): ids are dealt to files by ranges of ``file_records``."""
+    """(file, record_id, record): ids are dealt to files by ranges of ``file_records``, records without one by url."""
     rec = resource_record(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(body_col), F.lit("")))
-    return pages.select(F.expr(f"coalesce(floor(`{id_col}` / {file_records}), -1)").cast("bigint").alias("file"), F.col(id_col).cast("bigint").alias("record_id"), rec.alias("record"))
+    return pages.select(F.coalesce(F.expr(f"floor(`{id_col}` / {file_records})"), -1 - F.pmod(F.xxhash64(url_col), F.lit(NULL_FILES))).cast("bigint").alias("file"), F.col(id_col).cast("bigint").alias("record_id"), rec.alias("record"))
 
 
 def write_warc(recs: DataFrame, path: str) -> None:
@@ -119,7 +122,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     above = 0
     while last > 0:
         last, above = last // FANOUT, above + 1
-    a, b = (merkle_levels(x, above + 1) for x in entries)  # one level more: a file of null ids has number -1
+    a, b = (merkle_levels(x, above + 1) for x in entries)  # one level more: files without ids have negative numbers, and end at node -1
     wrong = keep(_differing(a[-1], b[-1]), "differing")
     for level in range(len(a) - 2, -1, -1):
         file, node = (F.expr(f"cast(floor(file / {FANOUT}) as bigint)"), F.lit(0).cast("bigint")) if level >= 2 else (F.col("file"), F.lit(0).cast("bigint") if level == 1 else F.expr(f"node div {FANOUT}"))
