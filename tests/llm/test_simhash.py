@@ -118,9 +118,71 @@ def test_wrong_candidates_hide_no_link(spark):
 def test_near_copies_of_one_key_over_several_blocks(spark, monkeypatch):
     """A link that the chain by size misses is found among all pairs of a shingle."""
     monkeypatch.setattr(simhash, "_PAIR_ROWS", 3)
+    monkeypatch.setattr(simhash, "_ROWS_AT_ONCE", 2)
     rnd = random.Random(7)
     line = " ".join(f"c{k}" for k in range(8))
     rows = [(i, " ".join([line] + [f"w{rnd.getrandbits(40)}" for _ in range(22)])) for i in range(40)]
     rows += [(100 + i, rows[i][1] + " end") for i in range(0, 40, 3)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d string").repartition(3)
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(range(40))
+
+
+def test_rows_go_by_id_and_text(spark):
+    """A row that repeats the id of a near copy stays if its own text is unlike; rows without an id stay."""
+    rnd = random.Random(13)
+    words = [[f"w{rnd.getrandbits(30)}" for _ in range(120)] for _ in range(4)]
+    near = [" ".join([*w[:60], "edited", *w[61:]]) for w in words]
+    rows = [(1, " ".join(words[0])), (2, near[0]), (2, " ".join(words[1])), (2, " ".join(words[2])), (3, near[2]), (None, near[1]), (None, near[1]), (4, None), (5, ""), (6, " \n"), (7, " ".join(words[3])), (7, " ".join(words[3]))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, d string, n int").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=repr)
+    want = [r for r in rows if r not in ((2, near[0]), (3, near[2]), (5, ""), (6, " \n"))]
+    assert left == sorted(want, key=repr)
+
+
+def test_parities_reject_nothing_similar():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        cut = int(rng.integers(0, max(1, n // 8) + 1))
+        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 8) + 1)), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if common >= 0.8 * (len(a) + len(b) - common):
+            assert simhash.may_be_similar(simhash.parity(a), simhash.parity(b), len(a), len(b), 0.8)
+    sets = [np.unique(rng.integers(0, 2**63, int(k), dtype=np.uint64)) for k in (60, 64, 65, 70, 120, 128, 129, 150)]
+    for x in sets:
+        for y in sets:
+            p, q = simhash.parity(x), simhash.parity(y)
+            want = simhash.may_be_similar(p, q, len(x), len(y), 0.2) and min(len(x), len(y)) >= 0.2 * max(len(x), len(y))
+            table = simhash._apart(*(np.frombuffer(z, np.uint64)[None] for z in (p, q)), np.array([len(x)]), np.array([len(y)]), 0.2)
+            assert (table[0, 0] < simhash._FAR) == want
+    a, b = (rng.integers(0, 2**63, 700, dtype=np.uint64) for _ in range(2))
+    assert not simhash.may_be_similar(simhash.parity(a), simhash.parity(b), 700, 700, 0.8)
+    assert simhash.parity(np.empty(0, np.uint64)) == bytes(8)
+
+
+def test_closest_pairs_of_each_root(monkeypatch):
+    monkeypatch.setattr(simhash, "_PAIR_ROWS", 3)
+    monkeypatch.setattr(simhash, "_ROWS_AT_ONCE", 2)
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2**63, 130, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[int(rng.integers(0, 12)) :], rng.integers(0, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)]) for _ in range(20)]
+    n, root, bits = np.array(list(map(len, sets))), np.arange(20) % 7, [simhash.parity(x) for x in sets]
+    whole = {tuple(sorted(p)) for p in simhash._meeting(n, root, bits, 0.8, False).tolist()}
+    apart = {(i, j): int(simhash._apart(*(np.frombuffer(bits[k], np.uint64)[None] for k in (i, j)), n[[i]], n[[j]], 0.8)[0, 0]) for i in range(20) for j in range(20) if root[i] != root[j]}
+    assert whole == {(i, j) for (i, j), x in apart.items() if i < j and x < simhash._FAR}
+    near = simhash._meeting(n, root, bits, 0.8, True).tolist()
+    assert sorted(root[i] for i, _ in near) == sorted({int(root[i]) for (i, j), x in apart.items() if x < simhash._FAR})
+    assert all(apart[i, j] == min(x for (p, _), x in apart.items() if root[p] == root[i]) for i, j in near)
+
+
+def test_a_dense_ball_is_joined_quickly():
+    """Fifty thousand points within a few bits of one another: no step grows with points times unions."""
+    import time
+
+    rng = np.random.default_rng(15)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60_000, 3)).astype(np.uint64), axis=1)
+    points = np.unique(np.uint64(0x123456789ABCDEF) ^ flips)[:30_000]
+    began = time.time()
+    pairs = simhash.forest(points, 4)
+    assert len(pairs) == len(points) - 1 and time.time() - began < 60
