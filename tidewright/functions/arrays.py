@@ -88,25 +88,28 @@ def bigrams(codes: Column) -> Column:
     return F.when(F.size(codes) > 1, pairs).otherwise(F.filter(F.transform(codes, lambda c: F.struct(c.alias("a"), c.alias("b"))), lambda _: F.lit(False)))
 
 
-def counted(values: Column) -> Column:
-    """Array of (value, n), ascending: sorted in the row, where equal neighbours make a run; nothing is shuffled."""
-    s = F.sort_array(values)
-    last = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("value"), (i + 1).alias("end"))), lambda r: F.coalesce(F.get(s, r["end"]) != r["value"], F.lit(True)))
-    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(last, lambda r: r["end"])), F.lit(1), F.size(last))
-    return F.zip_with(last, before, lambda r, before: F.struct(r["value"].alias("value"), (r["end"] - before).alias("n")))
+def run_ends(s: Column) -> Column:
+    """Array of (value, end) of the runs of equal neighbours in an ascending array. ``s`` is read for each element, so it must be a column, not an expression."""
+    return F.filter(F.transform(s, lambda x, i: F.struct(x.alias("value"), (i + 1).alias("end"))), lambda r: F.coalesce(F.get(s, r["end"]) != r["value"], F.lit(True)))
+
+
+def run_lengths(ends: Column) -> Column:
+    """Array of (value, n) from (value, end): where nothing is shuffled, the row itself counts its values."""
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(ends, lambda r: r["end"])), F.lit(1), F.size(ends))
+    return F.zip_with(ends, before, lambda r, b: F.struct(r["value"].alias("value"), (r["end"] - b).alias("n")))
 
 
 def histogram(df: DataFrame, key: str, codes: str, codebook: int | None = None) -> DataFrame:
     """(key, code, n, share): share of each code, all shares of a key sum to 1. With ``codebook`` other codes are an error."""
     values = in_range(F.col(codes), codebook) if codebook else F.col(codes)
-    rows = df.select(key, F.size(codes).alias("_t"), F.sort_array(values).alias("_s"))
-    return rows.select(key, "_t", F.explode(counted(F.col("_s"))).alias("r")).select(key, F.col("r.value").alias("code"), F.col("r.n").cast("bigint").alias("n"), (F.col("r.n") / F.col("_t")).alias("share"))
+    rows = df.select(key, F.size(codes).alias("_t"), F.sort_array(values).alias("_s")).select(key, "_t", run_ends(F.col("_s")).alias("_e"))
+    return rows.select(key, "_t", F.explode(run_lengths(F.col("_e"))).alias("r")).select(key, F.col("r.value").alias("code"), F.col("r.n").cast("bigint").alias("n"), (F.col("r.n") / F.col("_t")).alias("share"))
 
 
 def entropy(df: DataFrame, key: str, codes: str) -> DataFrame:
     """(key, entropy) in bits of rows with codes, as log2 t - sum(n log2 n) / t."""
-    rows = df.filter(F.size(codes) > 0).select(key, F.size(codes).alias("_t"), F.sort_array(codes).alias("_s"))
-    weighted = F.aggregate(counted(F.col("_s")), F.lit(0.0), lambda a, r: a + r["n"] * F.log2(r["n"].cast("double")))
+    rows = df.filter(F.size(codes) > 0).select(key, F.size(codes).alias("_t"), F.sort_array(codes).alias("_s")).select(key, "_t", run_ends(F.col("_s")).alias("_e"))
+    weighted = F.aggregate(run_lengths(F.col("_e")), F.lit(0.0), lambda a, r: F.when(r["n"] > 1, a + r["n"] * F.log2(r["n"].cast("double"))).otherwise(a))
     return rows.select(key, (F.log2(F.col("_t").cast("double")) - weighted / F.col("_t")).alias("entropy"))
 
 
@@ -116,11 +119,12 @@ def features(df: DataFrame, key: str, codes: str, codebook: int = 1024, buckets:
     blocks = F.when(n > 1, 2).otherwise(1)
     pairs = F.transform(bigrams(F.col(codes)), lambda p: F.pmod(p["a"].cast("bigint") * 1009 + p["b"], F.lit(buckets)) + codebook)
     rows = df.filter(n > 0).select(key, (n * blocks).alias("_u"), ((n - 1) * blocks).alias("_b"), F.sort_array(F.transform(codes, lambda c: c.cast("bigint"))).alias("_s"), F.sort_array(pairs).alias("_p"))
+    rows = rows.select(key, "_u", "_b", run_ends(F.col("_s")).alias("_s"), run_ends(F.col("_p")).alias("_p"))
+
     def weighed(c: str, w: str) -> Column:
-        return F.transform(counted(F.col(c)), lambda r: F.struct(r["value"].alias("idx"), (r["n"] / F.col(w)).alias("val")))
+        return F.transform(run_lengths(F.col(c)), lambda r: F.struct(r["value"].alias("idx"), (r["n"] / F.col(w)).alias("val")))
 
-    each = F.concat(weighed("_s", "_u"), weighed("_p", "_b"))
-    return rows.select(key, F.explode(each).alias("f")).select(key, "f.idx", "f.val")
+    return rows.select(key, F.explode(F.concat(weighed("_s", "_u"), weighed("_p", "_b"))).alias("f")).select(key, "f.idx", "f.val")
 
 
 def dot(a: Column, b: Column) -> Column:
