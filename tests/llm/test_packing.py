@@ -86,3 +86,46 @@ def test_long_seeds_are_scored_by_all_their_terms():
         assert sorted(got) == [d for d in range(40) if d != seed]
         ordered = [score[d] for d in got]
         assert ordered == pytest.approx(sorted(ordered, reverse=True), rel=1e-5)
+
+
+def plain_fill(lengths, ranked, window):
+    """The greedy rule, token by token: a window takes its seed, then the seed's unused neighbours, best first; what overflows seeds the next one."""
+    free, out, sequence, rest = list(range(len(lengths))), [], [], []
+    while free or rest:
+        seed = rest[0][0] if rest else free.pop(0)
+        queue = rest or [(seed, k) for k in range(lengths[seed])]
+        rest = []
+        asked = None
+        while len(sequence) < window and (queue or asked != []):
+            if not queue:
+                if asked is None:
+                    asked = [d for d in ranked(seed, set(range(len(lengths))) - set(free)) if d in free]
+                if not asked:
+                    break
+                free.remove(asked[0])
+                queue = [(asked[0], k) for k in range(lengths[asked[0]])]
+                del asked[0]
+            sequence.append(queue.pop(0))
+        rest = queue
+        if len(sequence) == window:
+            out.append(sequence)
+            sequence = []
+    return out + [sequence] * bool(sequence)
+
+
+def test_fill_is_the_greedy_rule():
+    rng = np.random.default_rng(3)
+    for n, window in ((1, 16), (30, 16), (60, 64), (60, 37)):
+        docs = [rng.integers(0, 30, rng.integers(0, 40)).astype(np.uint16) for _ in range(n)]
+        df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=30).astype(float)
+        mean = np.mean([len(d) for d in docs])
+        lengths = [len(d) + 1 for d in docs]
+        got = defaultdict(list)
+        for doc, start, size, sequence, offset in packing.fill(lengths, packing.Index(docs, df, n, mean), window):
+            assert offset == len(got[sequence])
+            got[sequence] += [(doc, start + k) for k in range(size)]
+
+        def ranked(seed, used):
+            return packing.Index(docs, df, n, mean).neighbours(seed, np.array([d in used for d in range(n)]))
+
+        assert [got[k] for k in sorted(got)] == plain_fill(lengths, ranked, window)

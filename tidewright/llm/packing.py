@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .bpe import BATCH_CHARS, encoder
-from .common import keep, mapped, pack, slices, unpack
+from .common import grouped, keep, mapped, pack, slices, unpack
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a shard's index.
 SHARD_TOKENS = 2 << 20
 K1, B = 1.2, 0.75
+#: A term is common in a shard if one document of so many has it.
+COMMON_SHARE = 8
 _PARTS = 64
 
 
@@ -78,8 +80,8 @@ def _frequencies(rows: DataFrame, vocabulary: int) -> np.ndarray:
         return pa.table({"part": pa.array([0], pa.int64()), "ids": pa.array([pack(s)], pa.binary())})
 
     schema = "part bigint, ids binary"
-    first = rows.filter("n IS NULL").select(F.pmod("near", F.lit(_PARTS)).alias("part"), "ids").groupBy("part").applyInArrow(total, schema)
-    row = first.groupBy("part").applyInArrow(total, schema).first()
+    first = rows.filter("n IS NULL").select(F.pmod("near", F.lit(_PARTS)).alias("part"), "ids").groupBy("part").applyInArrow(grouped(total), schema)
+    row = first.groupBy("part").applyInArrow(grouped(total), schema).first()
     return unpack(row.ids, np.int64) if row else np.zeros(vocabulary, np.int64)
 
 
@@ -105,16 +107,36 @@ class Index:
         self._own_terms = term
         self._own = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
-        self._docs, self._weight = doc[order], weight[order]
-        self._at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
+        doc, weight, term = doc[order].astype(np.int64), weight[order].astype(np.float64), term[order]
+        # Postings of a term that much of the shard has become a row of a matrix: whole rows add up faster than entries.
+        each = np.bincount(term, minlength=len(frequency))
+        common = np.flatnonzero(each * COMMON_SHARE > self.n)
+        self._row = np.full(len(frequency), -1, np.int64)
+        self._row[common] = np.arange(len(common))
+        row = self._row[term]
+        self._matrix = np.zeros((len(common), self.n), np.float32)
+        self._matrix[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        each[common] = 0
+        self._docs, self._weight, self._gone = doc[row < 0], weight[row < 0], 0
+        self._at = np.r_[0, np.cumsum(each)]
+
+    def forget(self, used: np.ndarray) -> None:
+        """Now and then the postings of documents that are used, and stay so, leave."""
+        gone = int(used.sum())
+        if gone - self._gone > (self.n - self._gone) // 10:
+            stay = ~used[self._docs]
+            self._docs, self._weight, self._at, self._gone = self._docs[stay], self._weight[stay], np.r_[0, np.cumsum(stay)][self._at], gone
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents that have a term of the seed, best first by all its terms."""
         a, b = self._own[seed], self._own[seed + 1]
-        spans = [slice(self._at[t], self._at[t + 1]) for t in self._own_terms[a:b].tolist()]
-        if not spans:
-            return
-        score = np.bincount(np.concatenate([self._docs[s] for s in spans]), np.concatenate([self._weight[s] for s in spans]), self.n)
+        terms = self._own_terms[a:b]
+        first, last, row = self._at[terms], self._at[terms + np.int64(1)], self._row[terms]
+        some = last > first
+        spans = [slice(x, y) for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+        score = self._matrix[row[row >= 0]].sum(0).astype(np.float64)
+        if spans:
+            score += np.bincount(np.concatenate([self._docs[s] for s in spans]), np.concatenate([self._weight[s] for s in spans]), self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         while len(found):
@@ -157,6 +179,7 @@ def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[i
             continue
         if sequence != before:
             continue
+        index.forget(used)
         for doc in index.neighbours(seed, used):
             used[doc] = True
             cut = put(doc, 0)
@@ -220,4 +243,4 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     shards = max(1, -(-tokens // SHARD_TOKENS))
     dealt = rows.filter("n IS NOT NULL").select("doc_id", "ids", "near").repartitionByRange(shards, "near", "doc_id").sortWithinPartitions("near", "doc_id")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
-    return dealt.select("doc_id", "ids").mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return mapped(dealt.select("doc_id", "ids"), run, schema).withColumnRenamed("doc_id", id_col)
