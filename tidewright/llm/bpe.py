@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 
 from .common import mapped, only, slices
 
-_NEVER = np.iinfo(np.int64).max
+_NEVER = np.iinfo(np.int32).max
 #: Characters for which lower-casing and splitting need no Unicode tables: visible ASCII and Latin letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ɏ]+|[0-9]|[^\\sa-z0-9À-ɏ]+")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"  # str.split() takes these as white space, the tokenizer does not
 _STOPS = frozenset(".,;:!?")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 BATCH_CHARS = 1 << 20
 
 
@@ -72,12 +72,14 @@ class WordBPE:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         end, chars = spec["model"]["end_of_word_suffix"] or "", _byte_chars()
         self._byte_of = {c: b for b, c in chars.items()}
-        self._base = np.array([vocab[chars[b]] for b in range(256)] + [vocab[chars[b] + end] for b in range(256)], np.int64)
+        self._base = np.array([vocab[chars[b]] for b in range(256)] + [vocab[chars[b] + end] for b in range(256)], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in ((p[0] for p in pairs), (p[1] for p in pairs), (p[0] + p[1] for p in pairs)))
-        keys, order = np.unique(left << 32 | right, return_index=True)
-        self._keys, self._rank, self._made = keys, order.astype(np.int64), made[order]
         n = max(max(vocab.values()), *self.special.values()) + 1 if self.special else max(vocab.values()) + 1
+        # Pairs of ids below 2**16 are keys of 32 bits: half the memory to search.
+        self._half, self._key = (16, np.uint32) if n <= 1 << 16 else (32, np.uint64)
+        keys, order = np.unique(left << self._half | right, return_index=True)
+        self._keys, self._rank, self._made = keys.astype(self._key), order.astype(np.int32), made[order].astype(np.int32)
         # A rank may be merged everywhere at once if no merge of the symbol that it makes comes before it.
         soonest = np.full(n, _NEVER)
         np.minimum.at(soonest, left, np.arange(len(left)))
@@ -165,9 +167,9 @@ class WordBPE:
 
     def _pairs(self, left: np.ndarray, right: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair, by binary search."""
-        key = left << 32 | right
+        key = left.astype(self._key) << self._key(self._half) | right.astype(self._key)
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(inside & (self._keys[at] == key), self._rank[at], _NEVER), self._made[at]
+        return np.where(inside & (self._keys[at] == key), self._rank[at], np.int32(_NEVER)), self._made[at]
 
     def _pieces(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk without white space as bytes; special tokens as ids."""
@@ -210,7 +212,7 @@ class WordBPE:
         kind = raw.astype(np.int64)
         kind[last] += 256
         rank, made = (t[kind, np.r_[kind[1:], 0]] for t in (self._first_rank, self._first_made))
-        symbols, owner = self.merge(self._base[kind], np.repeat(np.arange(len(words)), sizes), rank, made)
+        symbols, owner = self.merge(self._base[kind], np.repeat(np.arange(len(words), dtype=np.int32), sizes), rank, made)
         for i, token in special:
             symbols[np.searchsorted(owner, i)] = token
         size = np.bincount(owner, minlength=len(words))
@@ -228,16 +230,13 @@ class WordBPE:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = list(map(self._chunks, texts))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        chunks = list(chain.from_iterable(split))
         if len(self._index) > CACHE_WORDS:
             self._forget()
-        at = list(map(self._index.__getitem__, chunks))
+        at = np.fromiter(map(self._index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if self._index.new:
             self._learn(self._index.new)
             self._index.new = []
-        at = np.array(at, np.int64)
-        known = self._index.known
-        self._uses[:known] += np.bincount(at, minlength=known).astype(np.int32)
+        np.add.at(self._uses, at, np.int32(1))
         first, counts = self._ends[at], self._ends[at + 1] - self._ends[at]
         total = np.cumsum(counts)
         n = int(total[-1]) if len(total) else 0
