@@ -191,3 +191,21 @@ def test_null_and_repeated_ids_are_dealt_over_chunks(spark):
         assert texts.select("chunk").distinct().count() > 4
         for out in (substrings.remove_repeated_passages(docs.union(docs)), suffixes.remove_repeated_strings(docs.union(docs))):
             assert tuple(out.selectExpr("count(*)", "sum(n_removed)").first()) == (4000, 0)
+
+
+def test_texts_of_a_short_period_beyond_a_block(spark):
+    n = repeats._BLOCK + 300
+    texts = ["a" * n, "." + "a" * (n + 7), "abc" * (n // 3), "c" + "abc" * (n // 3 + 5) + "!" * 40, "q" * n]
+    got = {r.doc_id: (r.n_tokens, r.n_removed, r.n_spans, r.left) for r in suffixes.remove_repeated_strings(frame(spark, list(enumerate(texts)))).collect()}
+    want = [(texts[0], 0, 0), (".", n + 7, 1), (texts[2], 0, 0), ("!" * 40, len(texts[3]) - 40, 1), (texts[4], 0, 0)]
+    assert {d: (len(t), k, s, left.encode()) for d, (t, (left, k, s)) in enumerate(zip(texts, want, strict=True))} == got
+    s, size, _ = suffixes.runs(suffixes.positions([t.encode() for t in texts]))
+    assert size.max() == 25 and size.sum() == sum(len(t) - 49 for t in texts)
+
+
+def test_parts_get_equally_many_representatives():
+    text = np.random.default_rng(3).integers(0, 256, 1 << 20, dtype=np.uint8).tobytes()
+    chunk = suffixes.Chunk(pa.table({"id": pa.array([1], pa.int64()), "text": pa.array([text], pa.binary())}), suffixes.part_edges(50), 64, repeats.random_points())
+    keys = chunk.representatives()[0]
+    sizes = [s.stop - s.start for _, s in chunk.split(keys, True)]
+    assert len(sizes) == 50 and max(sizes) < 1.2 * len(keys) / 50

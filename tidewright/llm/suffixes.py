@@ -9,7 +9,8 @@ at an offset. A position leaves as soon as it is unique, or decided.
         exchanged for a sample of positions that content alone chooses: a 50-byte string
         is represented by the least rank among its first 25 positions. Does another
         document have that rank? If not, the string is unique.
-    runs   neighbouring strings with one representative, at most 25 of them, named by all
+    runs   neighbouring strings with one representative, at most 25 of them (longer ones, of
+        texts that repeat a few bytes, are cut), named by all
         their bytes (two polynomials modulo a prime at random points, see repeats.py). Exchanged: does a smaller document have the same run? Then all
         its strings are repeated. Is it the only run with its representative? Then nothing
         is left to compare.
@@ -74,17 +75,28 @@ def runs(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(tokens.values)
     if n < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    # Block by block, so that long texts need no more than their bytes and one rank for each.
-    blocks = (tokens.values[a : a + _BLOCK + WINDOW - 1] for a in range(0, n - WINDOW + 1, _BLOCK))
-    least = np.concatenate([_sliding(ranks(_BYTE[x], PREFIX), _SAMPLE, np.minimum) for x in blocks])
     room = np.diff(tokens.starts)
-    inside = covered(n, tokens.starts[:-1][room >= WINDOW], tokens.starts[1:][room >= WINDOW] - WINDOW + 1)[: len(least)]
-    new = np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
+    inside = covered(n, tokens.starts[:-1][room >= WINDOW], tokens.starts[1:][room >= WINDOW] - WINDOW + 1)[: n - WINDOW + 1]
+    new = np.r_[True, inside[1:] != inside[:-1]]
     new[tokens.starts[:-1][tokens.starts[:-1] < len(new)]] = True
-    new = np.flatnonzero(new)
-    size = np.diff(np.r_[new, len(least)])
-    ok = inside[new]
-    return new[ok], size[ok], least[new[ok]]
+    # Block by block, so that long texts need no more than a few bytes for each of theirs.
+    start, key, last = [], [], None
+    for a in range(0, len(new), _BLOCK):
+        least = _sliding(ranks(_BYTE[tokens.values[a : a + _BLOCK + WINDOW - 1]], PREFIX), _SAMPLE, np.minimum)
+        here = new[a : a + _BLOCK]
+        here[1:] |= least[1:] != least[:-1]
+        here[:1] |= least[:1] != last
+        last = least[-1]
+        at = np.flatnonzero(here)
+        start.append(at + a)
+        key.append(least[at])
+    start, key = np.concatenate(start), np.concatenate(key)
+    size = np.diff(np.r_[start, len(new)])
+    ok = inside[start]
+    start, size, key = start[ok], size[ok], key[ok]
+    pieces = -(-size // _SAMPLE)  # more than one only in texts of a short period
+    skip = _SAMPLE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return np.repeat(start, pieces) + skip, np.minimum(np.repeat(size, pieces) - skip, _SAMPLE), np.repeat(key, pieces)
 
 
 def left(text: bytes, covered: np.ndarray) -> bytes:
@@ -101,9 +113,21 @@ def left_text(text: bytes, covered: np.ndarray) -> str:
     return raw[gone == 0].tobytes().decode()
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Equal ranges of the key space, so that ascending keys lie part by part."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def part_edges(parts: int) -> np.ndarray:
+    """Where parts of the key space begin, by 32 leading bits, but for the first: each gets as many representatives.
+
+    A representative is the least of 25 ranks, so small ranks are frequent (the smallest
+    13 times as frequent as the mean). A rank x in [0, 1) is one with the chance that fewer
+    than two of 25 others are smaller on either side: (1 - x)**25 + 25 x (1 - x)**24.
+    """
+    w, x = _SAMPLE, np.linspace(0, 1, (1 << 20) + 1)
+    upto = 1 - (1 - x) ** (w + 1) - (w + 1) / 2 * x * (1 - x) ** w
+    return (np.interp(np.arange(1, parts) / parts, upto, x) * 2**32).astype(np.uint64)
+
+
+def _part(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The part of each key; ascending keys lie part by part."""
+    return np.searchsorted(edges, keys >> np.uint64(32), "right")
 
 
 def _said(answers: pa.Table) -> dict[int, bytes]:
@@ -118,8 +142,8 @@ def _bits(data: bytes, n: int, fields: int = 1) -> list[np.ndarray]:
 class Chunk:
     """The texts of one chunk with their runs, and what the corpus has said about them."""
 
-    def __init__(self, table: pa.Table, parts: int, bits: int, points: tuple[int, int]):
-        self.parts, self.drop, self.points = parts, np.uint64(64 - bits), points
+    def __init__(self, table: pa.Table, edges: np.ndarray, bits: int, points: tuple[int, int]):
+        self.edges, self.drop, self.points = edges, np.uint64(64 - bits), points
         self.steps = []
         for piece, ids, texts in _steps(table):
             tokens = positions(texts)
@@ -134,7 +158,7 @@ class Chunk:
         return _distinct(self._all(4, np.uint64) >> self.drop, self._all(5, np.int64))
 
     def split(self, keys: np.ndarray, full_bits: bool) -> list[tuple[int, slice]]:
-        part = _part(keys if full_bits else keys << self.drop, self.parts)
+        part = _part(keys if full_bits else keys << self.drop, self.edges)
         edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
         return [(int(part[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -190,12 +214,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     carry = carry or []
     texts, parts, total = dealt(docs, id_col, text_col, carry)
     bits = min(64, max(40, int(total).bit_length() + 10))  # enough for few false meetings, which cost a comparison each
-    points = random_points()
+    points, part_starts = random_points(), part_edges(parts)
     left_of, left_type = (left_text, pa.string()) if as_text else (left, pa.binary())
     sha = (lambda b: hashlib.sha256(b.encode() if as_text else b).hexdigest()) if digest else None
 
     def ask_ranks(key, table):
-        chunk = Chunk(table, parts, bits, points)
+        chunk = Chunk(table, part_starts, bits, points)
         keys, low, high = chunk.representatives()
         return _table([(key[0].as_py(), p, pack_sorted(keys[s]), np.packbits(high[s] > low[s]).tobytes()) for p, s in chunk.split(keys, False)], _ASK)
 
@@ -207,7 +231,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         return _table([(c, key[0].as_py(), np.packbits(b).tobytes()) for c, b in zip(table.column("chunk").to_pylist(), np.split(shared, np.cumsum(list(map(len, asked)))[:-1]), strict=True)], _ANSWER)
 
     def ask_runs(key, table, answers):
-        chunk = Chunk(table, parts, bits, points)
+        chunk = Chunk(table, part_starts, bits, points)
         shared = chunk.shared(_said(answers))
         chunk.narrow(shared)
         head, one, two, low, _ = chunk.whole_runs()
@@ -231,7 +255,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     def decided(table, answers):
         said = _said(answers)
-        chunk = Chunk(table, parts, bits, points)
+        chunk = Chunk(table, part_starts, bits, points)
         chunk.narrow(unpack_sorted(said[-1]))
         return chunk, said
 
@@ -246,7 +270,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     def remove(key, table, answers):
         said = _said(answers)
         shared, memo = parted(said.pop(-1))
-        chunk = Chunk(table, parts, bits, points)
+        chunk = Chunk(table, part_starts, bits, points)
         chunk.narrow(unpack_sorted(shared))
         verdicts, n = {}, 0
         for p, s in chunk.split(chunk.whole_runs()[0] << np.uint64(32), True):
