@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from tidewright.functions import arrays, metrics, numeric
 from tidewright.functions import text as tx
@@ -262,3 +264,25 @@ def test_ranks_of_values_that_change_with_each_evaluation(spark):
     assert stats.spearman(rows, "a", "b").first().rho == pytest.approx(1)
     labelled = rows.select("a", (F.col("id") >= 25).cast("int").alias("label"))
     assert stats.auc(labelled, "a", "label").first().auc == 1
+
+
+def test_fits_reach_the_minimum(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.random((90, 12)) * (rnd.random((90, 12)) < 0.4) * np.r_[np.full(6, 1e-3), np.ones(6)]  # rare and small features beside large ones
+    label, held = (np.arange(90) % 6 == 0).astype(float), np.arange(90) % 5 == 0
+    sparse = [SparseVector(12, np.flatnonzero(r), r[r != 0]) if i % 2 else DenseVector(r) for i, r in enumerate(x)]
+    rows = spark.createDataFrame([(i, float(label[i]), bool(held[i]), v) for i, v in enumerate(sparse)], StructType([StructField("k", LongType()), StructField("label", DoubleType()), StructField("held", BooleanType()), StructField("features", VectorUDT())])).repartition(3)
+    blocks = models.packed(rows, "k")
+    fits = [models.Fit(l2, h) for l2 in (1e-5, 1e-2) for h in (True, False)]
+    got = models.fitted(blocks, fits)
+    for fit, w in zip(fits, got, strict=True):
+        use = ~held if fit.held_out else np.ones(90, bool)
+        a, y = x[use], label[use]
+        c = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        want = np.zeros(12)
+        for _ in range(50):  # Newton
+            p = 1 / (1 + np.exp(-a @ want))
+            want -= np.linalg.solve((a.T * (c * p * (1 - p))) @ a + fit.l2 * np.eye(12), a.T @ (c * (p - y)) + fit.l2 * want)
+        assert np.linalg.norm(w - want) <= 2e-6 * max(1, np.linalg.norm(want))
+    z = {r.k: r.z for r in models._logits(blocks, "k", got).collect()}
+    assert len(z) == 90 and np.allclose([z[i][3] for i in range(90)], x @ got[3])

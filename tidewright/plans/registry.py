@@ -186,8 +186,8 @@ q("held_out_auc", lambda v: stats.auc(v.table("part").select("p_size", (C("p_par
   "SELECT round((sum(r) FILTER (y = 1) - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc, round(sqrt((n1 + n0 + 1) / (12.0::DOUBLE * n1 * n0)), 6) AS null_se FROM (SELECT *, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS r, sum(y) OVER () AS n1, sum(1 - y) OVER () AS n0 FROM (SELECT p_size, (p_partkey % 3 = 0)::INTEGER AS y FROM part)) GROUP BY n1, n0")
 q("lloyd_step", lambda v: models.lloyd_step(v.vectors, [[0.0] * 64, [0.1] * 64, [-0.1] * 64], "vec_id", "v").select("vec_id", "cluster_id", F.round("dist", 6).alias("dist")), "SELECT vec_id, (CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END)::INTEGER AS cluster_id, round(least(a, b, c), 6) AS dist FROM (SELECT vec_id, round(list_distance(v, list_transform(v, lambda x: 0.0::DOUBLE)), 9) AS a, round(list_distance(v, list_transform(v, lambda x: 0.1::DOUBLE)), 9) AS b, round(list_distance(v, list_transform(v, lambda x: -0.1::DOUBLE)), 9) AS c FROM vectors)", "vectors")
 q("kmeans", lambda v: models.cluster(v.vectors, 8, 201, "vec_id", "v"))
-q("dsir_fit", lambda v: models.importance(*[models.vectors(arrays.features(t, "utterance_id", "codes"), "utterance_id", 1024 + 65536) for t in (v.tokens.join(v.pool.select("utterance_id"), "utterance_id", "left_semi"), v.target)], 1e-3))
-q("dsir_sweep", lambda v: v.spark.createDataFrame(models.sweep(*[models.vectors(arrays.features(t, "utterance_id", "codes"), "utterance_id", 1024 + 65536) for t in (v.tokens.join(v.pool.select("utterance_id"), "utterance_id", "left_semi"), v.target)], 5, [1e-4, 1e-2]), "l2 double, held_out_auc double, held_out_logloss double, weight_spread double"))
+q("dsir_fit", lambda v: models.importance(*[models.sparse(arrays.feature_lists(t, "utterance_id", "codes"), "utterance_id", 1024 + 65536) for t in (v.tokens.join(v.pool.select("utterance_id"), "utterance_id", "left_semi"), v.target)], 1e-3))
+q("dsir_sweep", lambda v: v.spark.createDataFrame(models.sweep(*[models.sparse(arrays.feature_lists(t, "utterance_id", "codes"), "utterance_id", 1024 + 65536) for t in (v.tokens.join(v.pool.select("utterance_id"), "utterance_id", "left_semi"), v.target)], 5, [1e-4, 1e-2]), "l2 double, held_out_auc double, held_out_logloss double, weight_spread double"))
 _CTC = """, x AS (SELECT vec_id, frames, n_frames, 2 + vec_id % 6 + 1 AS one, 2 + vec_id % 5 + 1 AS two, 2 AS blank FROM frames),
   a AS (SELECT *, 1 AS t, frames[1][blank] AS a0, frames[1][one] AS a1, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS a3, 0.0::DOUBLE AS a4 FROM x
     UNION ALL SELECT vec_id, frames, n_frames, one, two, blank, t + 1, a0 * frames[t + 1][blank], (a0 + a1) * frames[t + 1][one], (a1 + a2) * frames[t + 1][blank], (a2 + a3 + CASE WHEN one <> two THEN a1 ELSE 0 END) * frames[t + 1][two], (a3 + a4) * frames[t + 1][blank] FROM a WHERE t < n_frames)
